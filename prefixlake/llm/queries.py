@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from prefixlake.llm import mixing, quality_rules
+from prefixlake.llm import chat_format, fingerprints, mixing, quality_rules
 from prefixlake.llm.common import documents
 
 W = r"[^\x20\x09-\x0D]+"
@@ -12,10 +12,20 @@ def op4_quality_rules(spark, sf_dir):
     return quality_rules.quality_report(documents(spark, sf_dir))
 
 
+def op8_fingerprints(spark, sf_dir):
+    return fingerprints.edit_report(documents(spark, sf_dir))
+
+
+def op9_chat_format(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], rows.schema)
+    return chat_format.read_report(chat_format.with_mask(chat_format.examples(rows.unionByName(added))))
+
+
 def op10_mix_sources(spark, sf_dir):
     return mixing.mixed_report(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op4_quality_rules, op8_fingerprints, op9_chat_format, op10_mix_sources)}
 
 SQL: dict[str, str] = {}
