@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from prefixlake.llm import chat_format, fingerprints, mixing, quality_rules
+from prefixlake.llm import chat_format, fingerprints, jaccard_join, line_dedup, mixing, quality_rules
 from prefixlake.llm.common import documents
 
 W = r"[^\x20\x09-\x0D]+"
 
 
+def op1_line_dedup(spark, sf_dir):
+    return line_dedup.dedup_report(documents(spark, sf_dir))
+
+
 def op4_quality_rules(spark, sf_dir):
     return quality_rules.quality_report(documents(spark, sf_dir))
 
 
+def op7_jaccard_join(spark, sf_dir):
+    return jaccard_join.grouped(documents(spark, sf_dir))
+
+
 def op8_fingerprints(spark, sf_dir):
     return fingerprints.edit_report(documents(spark, sf_dir))
 
@@ -26,6 +34,6 @@ def op10_mix_sources(spark, sf_dir):
     return mixing.mixed_report(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op8_fingerprints, op9_chat_format, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op4_quality_rules, op7_jaccard_join, op8_fingerprints, op9_chat_format, op10_mix_sources)}
 
 SQL: dict[str, str] = {}
