@@ -110,3 +110,29 @@ def shingle_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
                 yield first + r, mixed((w[a:b] * c[: b - a]).sum(keepdims=True, dtype=_U) + _U(b - a))
             else:
                 yield first + r, np.zeros(0, _U)
+
+
+_LETTER = np.zeros(256, bool)
+_LETTER[ord("a") : ord("z") + 1] = True
+_LETTER[ord("A") : ord("Z") + 1] = True
+_LETTER[0x80:] = True
+
+
+def letters(data: np.ndarray) -> np.ndarray:
+    """Which bytes belong to letters: ASCII letters and all of UTF-8's longer forms but general punctuation (E2 80 xx)."""
+    out = _LETTER[data]
+    if len(data) > 2:
+        at = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x80))
+        for k in range(3):
+            out[at + k] = False
+    return out
+
+
+def letter_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As word_spans, for runs of letters."""
+    inside = letters(data)
+    before, after = np.zeros(len(data) + 1, bool), np.zeros(len(data) + 1, bool)
+    before[1:], after[:-1] = inside, inside
+    before[offsets], after[offsets] = False, False
+    starts, ends = np.flatnonzero(inside & ~before[:-1]), np.flatnonzero(inside & ~after[1:]) + 1
+    return starts, ends, np.searchsorted(starts, offsets)
