@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from prefixlake.llm import chat_format, fingerprints, jaccard_join, lang_id, line_dedup, mixing, quality_rules, toxicity
+from prefixlake.llm import chat_format, fingerprints, jaccard_join, lang_id, license_scan, line_dedup, mixing, quality_rules, sentencepiece_codec, toxicity
 from prefixlake.llm.common import documents
 
 W = r"[^\x20\x09-\x0D]+"
@@ -16,10 +16,18 @@ def op2_toxicity(spark, sf_dir):
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op3_sentencepiece(spark, sf_dir):
+    return sentencepiece_codec.codec_report(documents(spark, sf_dir))
+
+
 def op4_quality_rules(spark, sf_dir):
     return quality_rules.quality_report(documents(spark, sf_dir))
 
 
+def op5_license_scan(spark, sf_dir):
+    return license_scan.scan(documents(spark, sf_dir))
+
+
 def op6_language_id(spark, sf_dir):
     return lang_id.identify(documents(spark, sf_dir))
 
@@ -42,6 +50,6 @@ def op10_mix_sources(spark, sf_dir):
     return mixing.mixed_report(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op4_quality_rules, op6_language_id, op7_jaccard_join, op8_fingerprints, op9_chat_format, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_sentencepiece, op4_quality_rules, op5_license_scan, op6_language_id, op7_jaccard_join, op8_fingerprints, op9_chat_format, op10_mix_sources)}
 
 SQL: dict[str, str] = {}
