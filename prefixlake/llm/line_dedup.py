@@ -63,7 +63,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     """
     starts = stored(later_windows(docs)).select(F.col("doc_id").alias("__id"), F.col("__digest").alias("__of"), F.col("starts").alias("__starts"))
     rows = keys(docs)
-    joined = rows.join(starts, rows["doc_id"].eqNullSafe(starts["__id"]) & (rows["__digest"] == starts["__of"]), "left")
+    # both sides grow with the corpus: always a shuffle join
+    joined = rows.join(starts.hint("merge"), rows["doc_id"].eqNullSafe(starts["__id"]) & (rows["__digest"] == starts["__of"]), "left")
     lines = lines_of(F.col("text"))
     left = F.when(F.col("__starts").isNotNull(), let(lines, lambda x: let(F.col("__starts"), lambda s: cut(x, s)))).otherwise(lines)
     out = joined.withColumn("__left", left)
