@@ -2,16 +2,19 @@
 
 A text's set is its distinct word shingles (64-bit hashes). Two sets link at a Jaccard similarity of PERCENT or more.
 
-1. Sets are named by a digest, so exact copies are one set from here on. A count-min table of fixed size over all
-   shingles tells which are common; each set is ordered by (commonness, hash), and its first n - ceil(PERCENT n) + 1
-   shingles enter the inverted index: two sets that link share one of them, whatever the order.
-2. Index lists are sorted by position-bearing entries. Short lists give their pairs, less those that size and position
-   rule out. In long lists each set first meets only the list's head (index-level skipping): a set that links with the
+1. Sets are named by a digest, so exact copies are one set from here on. Count-min tables of fixed size over all
+   shingles tell which are common; each set is ordered by (commonness, hash), and its first n - ceil(PERCENT n) + 1
+   shingles enter the inverted index with their positions. Whatever the order, two sets that link share at least
+   ``_shared`` shingles of these prefixes, a bound that follows from their sizes.
+2. Short index lists give their pairs, less those that size and position rule out; what pairs share is counted up over
+   the lists. In long lists each set first meets only the list's head (index-level skipping): a set that links with the
    head has the head's component from then on, and of its other answers only those in other components are still open
    (answer-level skipping: the answers of highly similar sets are derived from one another).
-3. Pairs pass a parity bitmap (an exact lower bound of the symmetric difference), then the sets themselves decide.
-4. After the components of these links, long lists are read again in blocks by size and position; pairs of blocks that
-   the bounds or a common component rule out are skipped, and the rest is decided in the same way.
+3. Pairs that share enough are decided by the sets themselves.
+4. After the components of these links, long lists are read again: first, their sets try the HEADS of each list that
+   stand in most long lists (what all near copies share most with), ROUNDS times; then lists are read in blocks by size
+   and position, pairs of blocks that the bounds rule out and sets of one component are skipped, and the counts of the
+   rest join those of step 2.
 """
 
 from __future__ import annotations
@@ -31,10 +34,15 @@ SHINGLE = 5
 PERCENT = 80
 #: Counters of the count-min table, and the parts that it is summed in.
 COUNTERS, PARTS = 1 << 22, 64
+#: Shingles that are looked through for repeats at once.
+HELD = 6 << 20
 #: Lists above this length are read by head first.
 LONG = 24
 BLOCK = 64
-BITS = 2048
+#: Sets in the middle of long lists that the others try first, and how often.
+HEADS, ROUNDS = 3, 2
+#: What a pair counts that is decided whatever it shares.
+SURE = 1 << 30
 _U = np.uint64
 
 
@@ -48,40 +56,55 @@ def _needed(n):
     return -(-PERCENT * n // (100 + PERCENT))
 
 
-def _prefix(n: int) -> int:
+def _prefix(n):
     return n + (PERCENT * -n // 100) + 1
 
 
+def _shared(na, nb):
+    """The least number of shingles that the prefixes of two sets of these sizes share if the sets link."""
+    return np.minimum(_prefix(na) - na, _prefix(nb) - nb) + _needed(na + nb)
+
+
 def _columns(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
     return [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
 
 
 def _members(shingle: int):
+    """A row for each document; and for each task the parts of two count-min tables, of all shingles and of those that repeat among HELD."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.uint16)
+        counts = np.zeros((2, COUNTERS), np.uint16)
+        held, n = [], 0
         for batch in batches:
             size, name = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            held, n = [], 0
             for row, s in wordhash.shingle_sets(batch.column("text"), shingle):
                 size[row], name[row] = len(s), digest(s)
-                held.append((s & _U(COUNTERS - 1)).astype(np.int64))
+                held.append(s)
                 n += len(s)
-                if n > 1 << 20:
+                if n > HELD:
                     _count(counts, held)
                     held, n = [], 0
-            _count(counts, held)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(name), pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())], ["doc_id", "n", "node", "part", "counts"])
+        _count(counts, held)
         if counts.any():
-            blobs = [x.tobytes() for x in counts.reshape(PARTS, -1)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.int64()), pa.array(range(PARTS), pa.int32()), pa.array(blobs, pa.binary())], ["doc_id", "n", "node", "part", "counts"])
+            blobs = [x.tobytes() for x in counts.reshape(2 * PARTS, -1)]
+            none = pa.nulls(2 * PARTS, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(2 * PARTS), pa.int32()), pa.array(blobs, pa.binary())], ["doc_id", "n", "node", "part", "counts"])
 
     return run
 
 
 def _count(counts: np.ndarray, held: list[np.ndarray]) -> None:
-    if held:
-        at, n = np.unique(np.concatenate(held), return_counts=True)
-        counts[at] = np.minimum(counts[at] + n, 65535).astype(np.uint16)
+    if not held:
+        return
+    all_ = np.concatenate(held)
+    all_.sort()
+    again = np.zeros(len(all_), bool)
+    again[1:] = all_[1:] == all_[:-1]
+    again[:-1] |= again[1:]
+    for table, x in zip(counts, (all_, all_[again]), strict=True):
+        n = np.bincount((x & _U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        table[:] = np.minimum(table + n, 65535)
 
 
 def _summed(table: pa.Table) -> pa.Table:
@@ -94,11 +117,12 @@ def _summed(table: pa.Table) -> pa.Table:
 def commonness(rows: DataFrame) -> np.ndarray:
     """A class for each counter: 0 for what isn't common for sure, else the logarithm of the count. It only sets the order."""
     parts = rows.where("part IS NOT NULL").select("part", "counts").groupBy("part").applyInArrow(_summed, "part int, counts binary").collect()
-    counts = np.zeros((PARTS, COUNTERS // PARTS))
+    counts = np.zeros((2 * PARTS, COUNTERS // PARTS))
     for r in parts:
         counts[r["part"]] = np.frombuffer(r["counts"], np.uint32)
-    counts, mean = counts.ravel(), counts.mean()
-    return np.where(counts > mean + 8 * np.sqrt(mean) + 24, np.log2(counts + 1), 0).astype(np.uint8)
+    counts = counts.reshape(2, -1)
+    mean = counts.mean(axis=1, keepdims=True)
+    return np.where(counts > mean + 8 * np.sqrt(mean) + 8, np.log2(counts + 1), 0).max(axis=0).astype(np.uint8)
 
 
 def _entries(shingle: int, classes):
@@ -132,22 +156,30 @@ def _batch(out) -> pa.RecordBatch:
 
 
 def _possible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether entries (size << 32 | position) of one token can link, if that is the first token that both sets share."""
-    na, nb, pa_, pb = a >> 32, b >> 32, a & 0xFFFFFFFF, b & 0xFFFFFFFF
-    return (np.minimum(na, nb) * 100 >= np.maximum(na, nb) * PERCENT) & (np.minimum(na - pa_, nb - pb) >= _needed(na + nb))
+    """Whether sets with entries (size << 32 | position) of one shingle can link, by their sizes and what positions leave them to share."""
+    na, nb, ia, ib = a >> 32, b >> 32, a & 0xFFFFFFFF, b & 0xFFFFFFFF
+    return (np.minimum(na, nb) * 100 >= np.maximum(na, nb) * PERCENT) & (np.minimum(ia, ib) + np.minimum(na - ia, nb - ib) >= _needed(na + nb))
+
+
+PAIR = ["a", "b", "na", "nb", "shared"]
 
 
-def _unique(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    a, b = np.minimum(a, b), np.maximum(a, b)
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return a[new], b[new]
+def _counted(pairs: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """Pairs (node, node, entry, entry, count) summed up."""
+    x, y, ex, ey, c = (np.concatenate(v) for v in zip(*pairs, strict=True))
+    swap = x > y
+    x, y, ex, ey = np.where(swap, y, x), np.where(swap, x, y), np.where(swap, ey, ex), np.where(swap, ex, ey)
+    order = np.lexsort((y, x))
+    x, y, ex, ey, c = x[order], y[order], ex[order], ey[order], c[order]
+    begin = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])) if len(x) else np.zeros(0, np.int64)
+    c = np.add.reduceat(c, begin) if len(x) else c
+    for k in range(0, len(begin), 1 << 18):
+        at = begin[k : k + (1 << 18)]
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (x[at], y[at], ex[at] >> 32, ey[at] >> 32, c[k : k + (1 << 18)])], PAIR)
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the index lists of one partition: pairs (a, b), and the entries (token, a, at) of long lists."""
+    """Of the index lists of one partition: pairs, and the entries (token, a, at) of long lists."""
     parts = [_columns(x, "token", "node", "at") for x in batches]
     if not parts:
         return
@@ -160,56 +192,83 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     token, node, at = token[new], node[new], at[new]
     begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
     length = np.diff(np.append(begin, len(token)))
-    found: list[tuple[np.ndarray, np.ndarray]] = []
+    found: list[tuple[np.ndarray, ...]] = []
     for n in np.unique(length[(length > 1) & (length <= LONG)]):
         i, j = np.triu_indices(n, 1)
-        for some in np.array_split(begin[length == n], 1 + (length == n).sum() * len(i) // 4_000_000):
+        lists = begin[length == n]
+        for some in np.array_split(lists, 1 + len(lists) * len(i) // 4_000_000):
             x, y = (some[:, None] + i).ravel(), (some[:, None] + j).ravel()
             ok = _possible(at[x], at[y])
-            found.append(_unique(node[x[ok]], node[y[ok]]))
-    long = length > LONG
-    rows = np.repeat(long, length)
+            x, y = x[ok], y[ok]
+            found.append((node[x], node[y], at[x], at[y], np.ones(len(x), np.int64)))
+    rows = np.repeat(length > LONG, length)
     head = np.repeat(begin, length)[rows]
     entry = np.flatnonzero(rows)
     ok = (head != entry) & _possible(at[head], at[entry])
-    found.append((node[head[ok]], node[entry[ok]]))
-    a, b = _unique(*(np.concatenate(x) for x in zip(*found, strict=True)))
-    for k in range(0, len(a), 1 << 18):
-        n = len(a[k : k + (1 << 18)])
-        yield pa.RecordBatch.from_arrays([pa.array(a[k : k + (1 << 18)]), pa.array(b[k : k + (1 << 18)]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], ["a", "b", "token", "at"])
+    x, y = head[ok], entry[ok]
+    found.append((node[x], node[y], at[x], at[y], np.full(len(x), SURE, np.int64)))
+    none = lambda n: [pa.nulls(n, pa.int64())] * 2
+    for batch in _counted(found):
+        yield pa.RecordBatch.from_arrays([*batch.columns, *none(batch.num_rows)], [*PAIR, "token", "at"])
     for k in range(0, len(entry), 1 << 18):
         e = entry[k : k + (1 << 18)]
-        yield pa.RecordBatch.from_arrays([pa.array(node[e]), pa.nulls(len(e), pa.int64()), pa.array(token[e]), pa.array(at[e])], ["a", "b", "token", "at"])
+        yield pa.RecordBatch.from_arrays([pa.array(node[e]), *none(len(e)), *none(len(e)), pa.array(token[e]), pa.array(at[e])], [*PAIR, "token", "at"])
+
+
+def _centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of the entries of long lists with the HEADS entries of the list that stand in most long lists, if of another component."""
+    for token, node, at, comp, many in _sorted(batches, "many"):
+        begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        order = np.lexsort((node, -many, token))
+        length = np.diff(np.append(begin, len(token)))
+        found = []
+        for k in range(HEADS):
+            head = order[np.minimum(np.repeat(begin, length) + k, np.repeat(begin + length - 1, length))]
+            x = np.flatnonzero(comp != comp[head])
+            x = x[_possible(at[x], at[head[x]])]
+            found.append((node[x], node[head[x]], at[x], at[head[x]], np.full(len(x), SURE, np.int64)))
+        yield from _counted(found)
+
+
+def _sorted(batches: Iterator[pa.RecordBatch], *more: str) -> Iterator[tuple[np.ndarray, ...]]:
+    """The entries of one partition, by shingle, size and position; nothing if there are none."""
+    parts = [_columns(x, "token", "a", "at", "component", *more) for x in batches]
+    if parts:
+        columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        order = np.lexsort((columns[1], columns[2], columns[0]))
+        yield tuple(x[order] for x in columns)
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of different components in the long lists of one partition; blocks by size and position are skipped by their bounds."""
-    parts = [_columns(x, "token", "a", "at", "component") for x in batches]
-    if not parts:
-        return
-    token, node, at, comp = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((at, token))  # by size, then position
-    token, node, at, comp = token[order], node[order], at[order], comp[order]
+    for token, node, at, comp in _sorted(batches):
+        yield from _blocks(token, node, at, comp)
+
+
+def _blocks(token: np.ndarray, node: np.ndarray, at: np.ndarray, comp: np.ndarray) -> Iterator[pa.RecordBatch]:
     begin = np.append(np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])), len(token))
+    found, held = [], 0
     for s, e in zip(begin[:-1], begin[1:], strict=True):
         if (comp[s:e] == comp[s]).all():
             continue
         cuts = np.append(np.arange(s, e, BLOCK), e)
-        room = [int(((at[x:y] >> 32) - (at[x:y] & 0xFFFFFFFF)).max()) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
         for i in range(len(cuts) - 1):
             for j in range(i, len(cuts) - 1):
-                least, most = int(at[cuts[j]] >> 32), int(at[cuts[i + 1] - 1] >> 32)
-                if most * 100 < least * PERCENT:
-                    break  # this and all later blocks hold too large sets
-                if min(room[i], room[j]) < _needed(int(at[cuts[i]] >> 32) + least):
-                    continue
+                # blocks ascend in size: from the first one that is too large for this one's largest set on, all are
+                if int(at[cuts[i + 1] - 1] >> 32) * 100 < int(at[cuts[j]] >> 32) * PERCENT:
+                    break
                 x, y = (g.ravel() for g in np.meshgrid(np.arange(cuts[i], cuts[i + 1]), np.arange(cuts[j], cuts[j + 1]), indexing="ij"))
                 ok = (x < y) & (comp[x] != comp[y])
                 x, y = x[ok], y[ok]
                 ok = _possible(at[x], at[y])
-                if ok.any():
-                    a, b = _unique(node[x[ok]], node[y[ok]])
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                x, y = x[ok], y[ok]
+                found.append((node[x], node[y], at[x], at[y], np.ones(len(x), np.int64)))
+                held += len(x)
+        if held > 2_000_000:
+            yield from _counted(found)
+            found, held = [], 0
+    if found:
+        yield from _counted(found)
 
 
 def _sets(shingle: int):
@@ -218,8 +277,7 @@ def _sets(shingle: int):
             nodes = batch.column("node").to_numpy()
             out, held = [], 0
             for row, s in wordhash.shingle_sets(batch.column("text"), shingle):
-                bits = np.packbits((np.bincount((s & _U(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8))
-                out.append((nodes[row], len(s), bits.tobytes(), s.tobytes()))
+                out.append((nodes[row], s.tobytes()))
                 held += len(s)
                 if held > 1 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), SET_TYPES, strict=True)], SET_NAMES)
@@ -230,16 +288,7 @@ def _sets(shingle: int):
     return run
 
 
-SET_NAMES, SET_TYPES = ["node", "n", "bits", "shingles"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-
-
-def _near_enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        na, nb = _columns(batch, "na", "nb")
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in ("bits_a", "bits_b"))
-        differ = np.bitwise_count(x ^ y).sum(axis=1)
-        ok = pa.array(differ <= na + nb - 2 * _needed(na + nb))
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
+SET_NAMES, SET_TYPES = ["node", "shingles"], [pa.int64(), pa.binary()]
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,15 +303,15 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
 
 
-def _decided(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link."""
-
-    def beside(pairs: DataFrame, side: str, *cols: str) -> DataFrame:
-        return pairs.join(sets.select(F.col("node").alias(side), *(F.col(c).alias(n) for c, n in zip(cols, (f"n{side}", f"bits_{side}") if "bits" in cols else (f"shingles_{side}",), strict=True))), side)
-
-    some = beside(beside(pairs, "a", "n", "bits"), "b", "n", "bits").mapInArrow(_near_enough, "a long, b long")
-    some = stored(some)
-    return stored(beside(beside(some, "a", "shingles"), "b", "shingles").mapInArrow(_linked, "a long, b long"))
+def _decided(pairs: DataFrame, docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (a, b) that link. Only the sets of their nodes are made again, each from one document that has it."""
+    pairs = stored(pairs.select("a", "b"))
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    chosen = stored(members.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
+    texts = docs.join(chosen.hint("merge"), "doc_id").select("node", "text").unionByName(_unnamed(docs, chosen, shingle))
+    sets = stored(texts.mapInArrow(_sets(shingle), "node long, shingles binary"))
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"shingles_{c}"))
+    return stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_linked, "a long, b long"))
 
 
 def linked_sets(docs: DataFrame, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
@@ -273,21 +322,24 @@ def linked_sets(docs: DataFrame, shingle: int = SHINGLE) -> tuple[DataFrame, Dat
     members = first.where("part IS NULL").select("doc_id", "n", "node")
     classes = spark.sparkContext.broadcast(commonness(first))
     index = docs.select("text").mapInArrow(_entries(shingle, classes), "token long, node long, at long")
-    lists = stored(index.repartition("token").mapInArrow(_lists, "a long, b long, token long, at long"))
-    pairs = lists.where("b IS NOT NULL").select("a", "b").distinct()
-    pairs = stored(pairs)
+    pair = "a long, b long, na long, nb long, shared long"
+    lists = stored(index.repartition("token").mapInArrow(_lists, f"{pair}, token long, at long"))
+    summed = lambda df: df.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("shared").alias("shared"))
+    prefix = lambda n: F.floor(F.col(n) - F.ceil(F.col(n) * PERCENT / 100) + 1)
+    enough = F.col("shared") >= F.least(prefix("na") - F.col("na"), prefix("nb") - F.col("nb")) + F.ceil((F.col("na") + F.col("nb")) * PERCENT / (100 + PERCENT))
+    pairs = stored(summed(lists.where("token IS NULL")))
     entries = lists.where("token IS NOT NULL").select("token", "a", "at")
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(entries.select(F.col("a").alias("node"))).distinct()
-    chosen = stored(members.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")))
-    texts = docs.join(chosen, "doc_id").select("node", "text").unionByName(_unnamed(docs, chosen, shingle))
-    sets = stored(texts.mapInArrow(_sets(shingle), "node long, n long, bits binary, shingles binary"))
-    links = _decided(pairs, sets)
+    links = _decided(pairs.where(enough), docs, members, shingle)
     found = stored(components(links))
     if entries.limit(1).count():
-        placed = entries.join(found, entries["a"] == found["node"], "left").select("token", "a", "at", F.coalesce("component", "a").alias("component"))
-        more = stored(placed.repartition("token").mapInArrow(_across, "a long, b long").distinct())
+        placed = lambda: entries.join(found, entries["a"] == found["node"], "left").select("token", "a", "at", F.coalesce("component", "a").alias("component"))
+        many = stored(entries.groupBy("a").agg(F.count("*").alias("many")))
+        for _ in range(ROUNDS):
+            links = links.unionByName(_decided(summed(placed().join(many, "a").repartition("token").mapInArrow(_centres, pair)), docs, members, shingle))
+            found = stored(components(links))
+        more = stored(summed(placed().repartition("token").mapInArrow(_across, pair).unionByName(pairs.where(~enough))).where(enough))
         if more.limit(1).count():
-            found = stored(components(links.unionByName(_decided(more, sets))))
+            found = stored(components(links.unionByName(_decided(more, docs, members, shingle))))
     return members, found
 
 
