@@ -114,21 +114,19 @@ def edit_report(docs: DataFrame) -> DataFrame:
     document, by doc_id descending, for the other half. Repeated rows are documents of their own; null texts are empty;
     a sole document is its own next one. Columns besides doc_id and text aren't read.
     """
-    def make(rows: DataFrame) -> DataFrame:
-        grown = rows.withColumn("tree", tree(F.col("text")))
-        return grown.withColumns({"root": F.col("tree.root"), "leaves": leaves(F.col("tree")), "fingerprint": written(F.col("tree"))}).drop("tree")
-
+    make = lambda rows: rows.withColumn("tree", tree(F.col("text")))
     rows = docs.select("doc_id", text_of().alias("text")).withColumn("digest", F.xxhash64("text", F.lit(1)))
-    both = with_next(rows, make, "text", "root", "leaves").withColumn("n_chars", F.length("text"))
+    both = with_next(rows, make, "text", "tree").withColumn("n_chars", F.length("text"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars") - half), F.substring(F.col("next.text"), F.lit(1), half))
-    both = both.withColumn("edited", edited).withColumn("tree", tree(F.col("edited")))
+    both = both.withColumn("edited", edited).withColumn("other", tree(F.col("edited")))
+    own, other, after = F.col("tree"), F.col("other"), F.col("next.tree")
     return both.select(
         "doc_id",
         F.col("n_chars").cast("long").alias("n_chars"),
         F.sha2(F.col("edited"), 256).alias("edited_sha256"),
-        "fingerprint",
-        written(F.col("tree")).alias("edited_fingerprint"),
-        likeness(F.col("leaves"), leaves(F.col("tree")), F.col("root"), F.col("tree.root")).alias("near_edited"),
-        likeness(F.col("leaves"), F.col("next.leaves"), F.col("root"), F.col("next.root")).alias("near_next"),
+        written(own).alias("fingerprint"),
+        written(other).alias("edited_fingerprint"),
+        likeness(leaves(own), leaves(other), own["root"], other["root"]).alias("near_edited"),
+        likeness(leaves(own), leaves(after), own["root"], after["root"]).alias("near_next"),
     )
