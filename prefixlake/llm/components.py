@@ -18,7 +18,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         out = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
+    return out.where("a <> b")
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether each node above has one link, to a node that has none itself."""
+    ups = edges.groupBy("a").agg(F.count("*").alias("n"), F.lit(0).alias("as_b"))
+    downs = edges.select(F.col("b").alias("a"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("as_b")).distinct()
+    both = ups.unionByName(downs).groupBy("a").agg(F.sum("n").alias("n"), F.max("as_b").alias("as_b"))
+    return not both.where("n > 1 OR (n = 1 AND as_b = 1)").limit(1).count()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,13 +35,10 @@ def components(edges: DataFrame) -> DataFrame:
     Each pair of rounds is stored; the number of rounds grows with the logarithm of the longest path. No task sees a
     whole component: nodes with many links are summed up before the shuffle and joined in parts.
     """
-    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
-    now = stored(edges.select("a", "b").where("a <> b").distinct())
-    seen = mark(now)
+    now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
     while True:
-        now = stored(_star(_star(now, True), False))
-        if (then := mark(now)) == seen:
+        now = stored(_star(_star(now, True), False).distinct())
+        if _settled(now):
             break
-        seen = then
-    return nodes.join(now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("component"))
+    return nodes.join(now.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("component"))

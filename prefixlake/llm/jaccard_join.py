@@ -12,9 +12,9 @@ A text's set is its distinct word shingles (64-bit hashes). Two sets link at a J
    (answer-level skipping: the answers of highly similar sets are derived from one another).
 3. Pairs that share enough are decided by the sets themselves.
 4. After the components of these links, long lists are read again: first, their sets try the HEADS of each list that
-   stand in most long lists (what all near copies share most with), ROUNDS times; then lists are read in blocks by size
-   and position, pairs of blocks that the bounds rule out and sets of one component are skipped, and the counts of the
-   rest join those of step 2.
+   stand in most long lists (what all near copies share most with); then lists are read in blocks by size
+   and position, pairs of blocks that the bounds rule out and sets of one component are skipped, and what the rest shares
+   is counted up as in step 2.
 """
 
 from __future__ import annotations
@@ -39,8 +39,8 @@ HELD = 6 << 20
 #: Lists above this length are read by head first.
 LONG = 24
 BLOCK = 64
-#: Sets in the middle of long lists that the others try first, and how often.
-HEADS, ROUNDS = 3, 2
+#: Sets in the middle of long lists that the others try first.
+HEADS = 16
 #: What a pair counts that is decided whatever it shares.
 SURE = 1 << 30
 _U = np.uint64
@@ -156,9 +156,11 @@ def _batch(out) -> pa.RecordBatch:
 
 
 def _possible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether sets with entries (size << 32 | position) of one shingle can link, by their sizes and what positions leave them to share."""
+    """Whether sets with entries (size << 32 | position) of one shingle can link, by their sizes and what the positions leave them to share, at all and of their prefixes."""
     na, nb, ia, ib = a >> 32, b >> 32, a & 0xFFFFFFFF, b & 0xFFFFFFFF
-    return (np.minimum(na, nb) * 100 >= np.maximum(na, nb) * PERCENT) & (np.minimum(ia, ib) + np.minimum(na - ia, nb - ib) >= _needed(na + nb))
+    before = np.minimum(ia, ib)
+    ok = (np.minimum(na, nb) * 100 >= np.maximum(na, nb) * PERCENT) & (before + np.minimum(na - ia, nb - ib) >= _needed(na + nb))
+    return ok & (before + np.minimum(_prefix(na) - ia, _prefix(nb) - ib) >= _shared(na, nb))
 
 
 PAIR = ["a", "b", "na", "nb", "shared"]
@@ -241,11 +243,11 @@ def _sorted(batches: Iterator[pa.RecordBatch], *more: str) -> Iterator[tuple[np.
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of different components in the long lists of one partition; blocks by size and position are skipped by their bounds."""
-    for token, node, at, comp in _sorted(batches):
-        yield from _blocks(token, node, at, comp)
+    for token, node, at, comp, many in _sorted(batches, "many"):
+        yield from _blocks(token, node, at, comp, many)
 
 
-def _blocks(token: np.ndarray, node: np.ndarray, at: np.ndarray, comp: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _blocks(token: np.ndarray, node: np.ndarray, at: np.ndarray, comp: np.ndarray, many: np.ndarray) -> Iterator[pa.RecordBatch]:
     begin = np.append(np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])), len(token))
     found, held = [], 0
     for s, e in zip(begin[:-1], begin[1:], strict=True):
@@ -260,7 +262,8 @@ def _blocks(token: np.ndarray, node: np.ndarray, at: np.ndarray, comp: np.ndarra
                 x, y = (g.ravel() for g in np.meshgrid(np.arange(cuts[i], cuts[i + 1]), np.arange(cuts[j], cuts[j + 1]), indexing="ij"))
                 ok = (x < y) & (comp[x] != comp[y])
                 x, y = x[ok], y[ok]
-                ok = _possible(at[x], at[y])
+                # what two sets share in long lists is bounded by their entries there
+                ok = _possible(at[x], at[y]) & (np.minimum(many[x], many[y]) >= _shared(at[x] >> 32, at[y] >> 32))
                 x, y = x[ok], y[ok]
                 found.append((node[x], node[y], at[x], at[y], np.ones(len(x), np.int64)))
                 held += len(x)
@@ -334,10 +337,15 @@ def linked_sets(docs: DataFrame, shingle: int = SHINGLE) -> tuple[DataFrame, Dat
     if entries.limit(1).count():
         placed = lambda: entries.join(found, entries["a"] == found["node"], "left").select("token", "a", "at", F.coalesce("component", "a").alias("component"))
         many = stored(entries.groupBy("a").agg(F.count("*").alias("many")))
-        for _ in range(ROUNDS):
-            links = links.unionByName(_decided(summed(placed().join(many, "a").repartition("token").mapInArrow(_centres, pair)), docs, members, shingle))
+        near = _decided(summed(placed().join(many, "a").repartition("token").mapInArrow(_centres, pair)), docs, members, shingle)
+        if near.limit(1).count():
+            links = links.unionByName(near)
             found = stored(components(links))
-        more = stored(summed(placed().repartition("token").mapInArrow(_across, pair).unionByName(pairs.where(~enough))).where(enough))
+        # pairs that share nothing in short lists must share enough in long ones; of the others, what they can still share there is bounded
+        far = summed(placed().join(many, "a").repartition("token").mapInArrow(_across, pair)).where(enough)
+        both = pairs.where(~enough).join(many, "a").join(many.select(F.col("a").alias("b"), F.col("many").alias("many_b")), "b")
+        more = far.unionByName(both.withColumn("shared", F.col("shared") + F.least("many", "many_b")).where(enough).select(far.columns))
+        more = stored(more.join(found.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(found.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left").where("ca IS NULL OR cb IS NULL OR ca <> cb").select("a", "b").distinct())
         if more.limit(1).count():
             found = stored(components(links.unionByName(_decided(more, docs, members, shingle))))
     return members, found
