@@ -2,12 +2,12 @@
 
 Training takes at most EXAMPLES labelled documents of each label, drawn by a hash of the id, none longer than
 TRAIN_CHARS. Terms are words (runs of letters, lower-cased) and their first PREFIX bytes; those whose presence speaks
-for a label by a likelihood-ratio test enter the vocabulary, of TERMS at most. Examples are vectors of those terms
+for label 1, by a likelihood-ratio test and LIFT, enter the vocabulary, of TERMS at most. Examples are vectors of those terms
 (1 + ln tf, times idf, length 1).
 
 The index is an inverted one with block maxima: examples stand in blocks, each term has its postings by block and its
 largest weight in each block. A query's bound for a block is the product of its weights with these maxima; blocks are
-read by falling bound until the bound falls below the NEAREST-th best cosine, so the neighbours are exact, ties by
+read by falling bound, a few at a time, until the bound falls below the NEAREST-th best cosine, so the neighbours are exact, ties by
 example number. Neighbours vote with weight 1 / (1.05 - cosine). A logistic fit on leave-one-out votes of the training
 examples, weighted back to the labels' true shares, gives the score; texts without any term of the vocabulary get the
 share of label 1 among such examples.
@@ -29,7 +29,11 @@ from prefixlake.llm.lang_id import fold
 
 EXAMPLES, TRAIN_CHARS = 3000, 20_000
 PREFIX, TERMS, LEAST_G = 6, 4096, 26.0
+#: How many times the share of label-1 examples with a term must be that of the others.
+LIFT = 3
 NEAREST, BLOCK, EVIDENCE = 15, 32, 3
+#: Blocks read before the bound is looked at; doubled each time. Answers that a task keeps, by query.
+FIRST, KEPT = 8, 50_000
 _U = np.uint64
 
 
@@ -86,21 +90,30 @@ class Index:
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int = NEAREST, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the ``k`` nearest examples with a cosine above 0, ``but`` left out."""
         bound = weight @ self.top[term]
+        blocks = np.argsort(-bound, kind="stable")[: np.count_nonzero(bound > 0)]
         best, cosine = np.zeros(0, np.int64), np.zeros(0)
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or len(best) == k and bound[block] < cosine[-1] - 1e-12:
-                break
-            score = np.zeros(BLOCK)
-            for t, w in zip(term, weight, strict=True):
-                s, e = self.begin[t * self.blocks + block], self.begin[t * self.blocks + block + 1]
-                score[self.example[s:e] - block * BLOCK] += w * self.weight[s:e]
+        at, step = 0, FIRST
+        while at < len(blocks) and not (len(best) == k and bound[blocks[at]] < cosine[-1] - 1e-12):
+            score = self._read(term, weight, blocks[at : at + step])
             near = np.flatnonzero(score > 0)
-            near = near[near + block * BLOCK != but]
-            best, cosine = np.append(best, near + block * BLOCK), np.append(cosine, np.minimum(score[near], 1.0))
-            order = np.lexsort((best, -cosine.round(12)))[:k]
+            near = near[near != but]
+            best, cosine = np.append(best, near), np.append(cosine, np.minimum(score[near], 1.0).round(12))
+            if len(best) > k:
+                good = cosine >= np.partition(cosine, -k)[-k]
+                best, cosine = best[good], cosine[good]
+            order = np.lexsort((best, -cosine))[:k]
             best, cosine = best[order], cosine[order]
+            at, step = at + step, 2 * step
         return best, cosine
 
+    def _read(self, term: np.ndarray, weight: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """The cosines of the examples of ``blocks``, from these terms' postings there."""
+        slot = (term[:, None] * self.blocks + blocks).ravel()
+        start = self.begin[slot]
+        n = self.begin[slot + 1] - start
+        place = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(self.example[place], np.repeat(np.repeat(weight, len(blocks)), n) * self.weight[place], minlength=len(self.label))
+
 
 def vector(found: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     term, n = np.unique(found, return_counts=True)
@@ -116,16 +129,23 @@ def vote(label: np.ndarray, cosine: np.ndarray) -> tuple[float, float]:
 
 class Model:
     def __init__(self, index: Index, fit: np.ndarray, bare: float):
-        self.index, self.fit, self.bare = index, fit, bare
+        self.index, self.fit, self.bare, self.known = index, fit, bare, {}
 
     def score(self, found: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The score, and the nearest examples with their cosines. Texts with equal terms have equal answers, which are kept."""
         if not len(found):
             return self.bare, np.zeros(0, np.int64), np.zeros(0)
+        key = np.sort(found).tobytes() if len(found) < 64 else None
+        if key in self.known:
+            return self.known[key]
         best, cosine = self.index.nearest(*self.index.vector(found))
-        if not len(best):
-            return self.bare, best, cosine
-        share, top = vote(self.index.label[best], cosine)
-        return float(1 / (1 + np.exp(-(self.fit @ [1.0, share, top])))), best, cosine
+        share, top = vote(self.index.label[best], cosine) if len(best) else (0.0, 0.0)
+        answer = (float(1 / (1 + np.exp(-(self.fit @ [1.0, share, top])))) if len(best) else self.bare), best, cosine
+        if len(self.known) >= KEPT:
+            self.known.clear()
+        if key:
+            self.known[key] = answer
+        return answer
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -157,7 +177,7 @@ def train(ids: np.ndarray, texts: list[str], label: np.ndarray, weight: np.ndarr
             return np.nan_to_num(k * np.log(k / (m * share))) + np.nan_to_num((m - k) * np.log((m - k) / (m * (1 - share))))
 
     g = 2 * (part(seen[0], n[0]) + part(seen[1], n[1]))
-    toxic = seen[1] * n[0] > seen[0] * n[1]
+    toxic = seen[1] * n[0] > LIFT * seen[0] * n[1]
     good = np.flatnonzero((g >= LEAST_G) & toxic)
     good = np.sort(good[np.argsort(-g[good], kind="stable")[:TERMS]])
     want, idf = vocabulary[good], np.log(1 + n.sum() / (1 + seen[:, good].sum(axis=0)))
