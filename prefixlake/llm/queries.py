@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from prefixlake.llm import chat_format, fingerprints, jaccard_join, lang_id, license_scan, line_dedup, mixing, quality_rules, sentencepiece_codec, toxicity
 from prefixlake.llm.common import documents
-
-W = r"[^\x20\x09-\x0D]+"
-
+from prefixlake.llm.sql import SQL
 
 def op1_line_dedup(spark, sf_dir):
     return line_dedup.dedup_report(documents(spark, sf_dir))
@@ -52,4 +50,4 @@ def op10_mix_sources(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_sentencepiece, op4_quality_rules, op5_license_scan, op6_language_id, op7_jaccard_join, op8_fingerprints, op9_chat_format, op10_mix_sources)}
 
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
