@@ -1,6 +1,9 @@
 """The corpus queries that have SQL against DuckDB, on a small fixture."""
 
+import math
+
 import duckdb
+import pandas as pd
 import pytest
 
 from prefixlake.llm import queries
@@ -21,9 +24,16 @@ def tables(spark, tmp_path_factory):
     return str(top), con
 
 
+def value(v):
+    if v is None or v is pd.NA or isinstance(v, float) and math.isnan(v):
+        return None
+    v = v.item() if hasattr(v, "item") else v
+    return round(v, 6) if isinstance(v, float) and not v.is_integer() else int(v) if isinstance(v, float) else v
+
+
 def plain(frame):
     frame = frame[sorted(frame.columns)]
-    return sorted(str([None if v is None or v != v else int(v) if isinstance(v, float) and float(v).is_integer() else round(v, 6) if isinstance(v, float) else v.item() if hasattr(v, "item") else v for v in r]) for r in frame.astype(object).itertuples(index=False, name=None))
+    return sorted(str([value(v) for v in r]) for r in frame.astype(object).itertuples(index=False, name=None))
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
