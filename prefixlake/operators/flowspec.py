@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,3 +43,45 @@ def validity(rules: DataFrame, rib: DataFrame, peers: DataFrame) -> DataFrame:
 
 def rules_of(rib: DataFrame) -> DataFrame:
     return rib.where((F.col("safi") == FLOWSPEC) & (F.col("status") == "active"))
+
+
+def order_key(raw: bytes, v6: bool = False) -> str:
+    """A text by which rules sort as RFC 8955, section 5.1, orders them; malformed rules come last.
+
+    Components follow one another by type; of prefixes the longer one that another covers comes first, else the lower
+    address; of other components the lower bytes, of which a longer string comes before its beginning; more components
+    come before fewer.
+    """
+    out, at = "", 0
+    try:
+        while at < len(raw):
+            kind, at = raw[at], at + 1
+            if kind in (1, 2):
+                n, at = raw[at], at + (2 if v6 else 1)
+                bits = "".join(f"{b:08b}" for b in raw[at : at + (n + 7) // 8])
+                at += (n + 7) // 8
+                if at > len(raw):
+                    raise ValueError("prefix is cut off")
+                out += f"{kind:02x}{bits[:n]}2"
+                continue
+            start = at
+            while True:  # operators with values, up to the one that ends the list
+                op = raw[at]
+                at += 1 + (1 << (op >> 4 & 3))
+                if op & 0x80:
+                    break
+            if at > len(raw):
+                raise ValueError("value is cut off")
+            out += f"{kind:02x}{raw[start:at].hex()}g"
+    except (IndexError, ValueError):
+        return "~" + raw.hex()
+    return out + "zz"
+
+
+def ordered(rules: DataFrame) -> DataFrame:
+    """``rules`` by RFC order, then peer. The key is made in Arrow batches; rows sort by range."""
+    @F.pandas_udf("string")
+    def key(raw: pd.Series, afi: pd.Series) -> pd.Series:
+        return pd.Series([None if r is None else order_key(bytes(r), a == 2) for r, a in zip(raw, afi, strict=True)])
+
+    return rules.orderBy(key(F.col("nlri_raw"), F.col("afi")).asc_nulls_last(), "mui")

@@ -71,3 +71,28 @@ def reclaimable(ingresses: DataFrame) -> DataFrame:
 def reclaimed(before: DataFrame, now: DataFrame) -> DataFrame:
     """What was due at the sweep before and still is."""
     return before.select("id").intersect(now.select("id"))
+
+
+def down_fan_out(downs: DataFrame, ingresses: DataFrame) -> DataFrame:
+    """The muis that a peer's or router's down withdraws: itself, the other views of its peer (same parent, address and ASN), and all their path children."""
+    info = ingresses.select("id", "parent_ingress", "remote_addr", "remote_asn", "ingress_type")
+    hit = downs.select(F.col("mui").alias("id"), "seq").join(info, "id", "left")
+    views = info.where("ingress_type = 'bgpViaBmp'").select(F.col("id").alias("v"), F.col("parent_ingress").alias("p"), F.col("remote_addr").alias("a"), F.col("remote_asn").alias("n"))
+    siblings = hit.where("ingress_type = 'bgpViaBmp'").join(views, F.expr("parent_ingress = p AND remote_addr = a AND remote_asn = n")).select(F.col("v").alias("mui"), "seq")
+    peers = hit.where("ingress_type = 'bmp'").join(views, F.col("id") == F.col("p")).select(F.col("v").alias("mui"), "seq")
+    first = hit.select(F.col("id").alias("mui"), "seq").unionByName(siblings).unionByName(peers).distinct()
+    children = info.where("ingress_type = 'bgpPath'").select(F.col("id").alias("c"), F.col("parent_ingress").alias("p"))
+    return first.unionByName(first.join(children, F.col("mui") == F.col("p")).select(F.col("c").alias("mui"), "seq")).distinct()
+
+
+def first_listed(addresses: DataFrame, listed: list[str]) -> DataFrame:
+    """``addresses`` (id, BITS) and the first entry of ``listed`` that holds each: exact addresses before prefixes, then by text. A few entries: one condition each."""
+    from prefixlake.functions.prefix import literal, more_specific, same_prefix
+
+    order = sorted(listed, key=lambda x: ("/" in x, x))
+    out = F.lit(None).cast("string")
+    for entry in reversed(order):
+        afi, plen, _, _ = literal(entry)
+        hit = same_prefix(entry) if plen == (32 if afi == 1 else 128) else same_prefix(entry) | more_specific(entry)
+        out = F.when(hit, entry).otherwise(out)
+    return addresses.withColumn("entry", out)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from prefixlake.functions import attributes as A
 from prefixlake.functions.prefix import BITS, literal
 from prefixlake.operators import flowspec, outputs, rov
+from prefixlake.operators import ingresses as I
 from prefixlake.operators import rib as R
 from prefixlake.operators import search as S
 from prefixlake.plans.policy import logged
@@ -141,3 +142,54 @@ def w3_status_changes(spark, sf_dir):
     rows = R.fold(demo.session_events(spark, sf_dir))
     by = Window.partitionBy("mui").orderBy("seq", "safi", "afi", "plen", "p_hi", "p_lo", "nlri_raw")
     return rows.withColumn("prev", F.lag("status").over(by)).where("prev <> status").select("mui", "seq", "prev", "status")
+
+
+@query(with_("ing") + "SELECT c.n_nationkey AS cand, min(i.id) AS existing FROM nation c LEFT JOIN ing i ON i.ingress_type = 'bmp' AND i.remote_addr = 167837696 + c.n_nationkey AND i.name IS NOT DISTINCT FROM c.n_name AND i.state IS DISTINCT FROM 'Connected' GROUP BY c.n_nationkey")
+def j10_find_router(spark, sf_dir):
+    cand = demo.table(spark, sf_dir, "nation").selectExpr("n_nationkey AS cand", "'bmp' AS ingress_type", "167837696L + n_nationkey AS remote_addr", "n_name AS name")
+    return I.find_existing(cand, demo.ingresses(spark, sf_dir), "cand", ("ingress_type", "remote_addr"), ("name",))
+
+
+@query(with_("ing") + "SELECT id, CASE WHEN remote_addr = 167772165 THEN '10.0.0.5' WHEN remote_addr BETWEEN 167772160 AND 167772175 THEN '10.0.0.0/28' WHEN remote_addr BETWEEN 167772160 AND 184549375 THEN '10.0.0.0/8' END AS entry FROM ing WHERE remote_addr IS NOT NULL")
+def j15_first_listed_peer(spark, sf_dir):
+    rows = demo.ingresses(spark, sf_dir).where("remote_addr IS NOT NULL").withColumns({"afi": F.lit(1), "plen": F.lit(32), "p_hi": F.lit(0).cast("long"), "p_lo": F.col("remote_addr")})
+    return I.first_listed(rows, ["10.0.0.0/8", "10.0.0.5", "10.0.0.0/28"]).select("id", "entry")
+
+
+@query(
+    with_("sev", "ing") + """, d AS (SELECT DISTINCT mui AS id FROM sev WHERE kind = 'peer_down' AND mui < 20), s AS (SELECT d.id AS cause, d.id AS mui FROM d
+  UNION SELECT d.id, v.id FROM d JOIN ing i ON i.id = d.id AND i.ingress_type = 'bgpViaBmp' JOIN ing v ON v.ingress_type = 'bgpViaBmp' AND v.parent_ingress = i.parent_ingress AND v.remote_addr = i.remote_addr AND v.remote_asn = i.remote_asn)
+  SELECT cause AS seq, mui FROM s UNION SELECT s.cause, c.id FROM s JOIN ing c ON c.ingress_type = 'bgpPath' AND c.parent_ingress = s.mui"""
+)
+def s18_peer_down_fan_out(spark, sf_dir):
+    downs = demo.session_events(spark, sf_dir).where("kind = 'peer_down' AND mui < 20").select("mui", F.col("mui").alias("seq")).distinct()
+    return I.down_fan_out(downs, demo.ingresses(spark, sf_dir))
+
+
+@query(with_("act", "ing") + "SELECT a.afi, plen, p_hi, p_lo, mui, seq FROM act a JOIN ing i ON i.id = a.mui WHERE i.peer_rib_type NOT IN ('InPost', 'OutPost') AND a.safi = 1")
+def s23_without_post_policy(spark, sf_dir):
+    ing = demo.ingresses(spark, sf_dir).where(~F.col("peer_rib_type").isin("InPost", "OutPost")).select(F.col("id").alias("mui"))
+    return active(spark, sf_dir).where("safi = 1").join(ing, "mui", "left_semi").select(*BITS, "mui", "seq")
+
+
+@query(with_("ing", a="SELECT id FROM ing WHERE state = 'Disconnected'", b="SELECT id FROM ing WHERE id % 3 = 0") + "SELECT id FROM a INTERSECT SELECT id FROM b")
+def t6_intersection(spark, sf_dir):
+    ing = demo.ingresses(spark, sf_dir)
+    return I.reclaimed(ing.where("state = 'Disconnected'"), ing.where("id % 3 = 0"))
+
+
+@query(with_("ing") + "SELECT id, coalesce(remote_asn, 4294967295) AS peer_asn, coalesce(remote_addr, 0) AS peer_addr FROM ing")
+def u25_peer_defaults(spark, sf_dir):
+    return demo.ingresses(spark, sf_dir).select("id", F.coalesce("remote_asn", F.lit(4294967295)).alias("peer_asn"), F.coalesce("remote_addr", F.lit(0)).alias("peer_addr"))
+
+
+@query(with_("act") + "SELECT afi, plen, p_hi, p_lo, count(*) AS routes FROM act WHERE safi = 1 GROUP BY ALL ORDER BY afi, plen, p_hi, p_lo LIMIT 50")
+def q15_first_prefixes(spark, sf_dir):
+    """A page of prefixes, capped as a view is."""
+    return active(spark, sf_dir).where("safi = 1").groupBy(*BITS).agg(F.count("*").alias("routes")).orderBy(*BITS).limit(50)
+
+
+@query()
+def q13_flowspec_order(spark, sf_dir):
+    """Active rules in RFC 8955 order."""
+    return flowspec.ordered(flowspec.rules_of(R.fold(demo.session_events(spark, sf_dir)))).select(*BITS, "mui", F.hex("nlri_raw").alias("nlri_hex"))
