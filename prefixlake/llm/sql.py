@@ -61,8 +61,9 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, u.b FROM r JOIN u
 SELECT n.doc_id, n.n AS n_shingles, min(r.b) AS component_id FROM n JOIN r ON r.a = n.doc_id GROUP BY n.doc_id, n.n"""
 
 # the template's marks around a text of each role, and the growth of escaped characters
-_FORMATTED = """length(coalesce(text, '')) + (length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[\\\\<\\[\\]]', '', 'g')))
-  + CASE role WHEN 'assistant' THEN 4 WHEN 'user' THEN 13 WHEN 'system' THEN 31 ELSE 14 + length(coalesce(role, '')) END"""
+_ESCAPED = "(2 * length({0}) - length(regexp_replace({0}, '[\\\\<\\[\\]]', '', 'g')))"
+_FORMATTED = f"""{_ESCAPED.format("coalesce(text, '')")}
+  + CASE role WHEN 'assistant' THEN 4 WHEN 'user' THEN 13 WHEN 'system' THEN 31 ELSE 14 + {_ESCAPED.format("coalesce(role, '')")} END"""
 
 OP9 = f"""WITH c AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
 o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k, count(*) OVER (PARTITION BY conv_id) AS n, {_FORMATTED} AS f FROM c),

@@ -71,11 +71,12 @@ def test_quality_counts(spark, docs, rows):
 
 def test_quality_keeps_clean_and_drops_junk(spark, docs):
     clean = spark.createDataFrame([(1000 + k, prose(100 + k, 120), "xx", "s1", 0) for k in range(40)], SCHEMA)
-    out = {r["doc_id"]: r["kept"] for r in quality_rules.quality_report(docs.unionByName(clean), min_docs=20).collect()}
+    report = quality_rules.quality_report(docs.unionByName(clean), min_docs=20).collect()
+    out = {r["doc_id"]: r["kept"] for r in report if r["doc_id"] is not None}
     assert all(out[1000 + k] for k in range(40)) and out[1] and not out[13] and not out[14] and not out[7]
     kept = quality_rules.quality_filter(clashing(docs.unionByName(clean)), min_docs=20)
     assert kept.columns == clashing(docs).columns
-    assert {r["doc_id"] for r in kept.collect()} - {None} == {i for i, k in out.items() if k and i is not None}
+    assert collections.Counter(r["doc_id"] for r in kept.collect()) == collections.Counter(r["doc_id"] for r in report if r["kept"])
     assert quality_rules.quality_report(empty(spark)).count() == 0 == quality_rules.quality_filter(empty(spark)).count()
 
 
@@ -364,7 +365,7 @@ def test_pipeline_against_a_plain_version(spark, tmp_path, rows):
 
     some = [r for r in rows if r[0] is not None and r[0] != 17] + [(2000 + k, prose(9000 + k, 90), "xx", "s1", 0) for k in range(30)]
     spark.createDataFrame(some, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
-    got = sorted((r["doc_id"], r["text"], tuple(r["ids"])) for r in corpus_pipeline.run(spark, str(tmp_path)).where("text <> ''").collect())  # line dedup may empty a text
+    got = sorted((r["doc_id"], r["text"], tuple(r["ids"])) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     df = spark.createDataFrame(some, SCHEMA)
     kept = {r["doc_id"] for r in quality_rules.quality_report(df).where("kept").collect()}
     left = [r for r in some if r[0] in kept]
@@ -372,9 +373,14 @@ def test_pipeline_against_a_plain_version(spark, tmp_path, rows):
     left = [(i, cut[i, t][0], lang, s, n) for i, t, lang, s, n in left]
     group = {i: c for i, _, c in groups_plain(left)}
     left = [r for r in left if group[r[0]] == r[0]]
-    rate = {r["doc_id"]: (r["taken"], r["size"]) for r in mixing.mixed_report(spark.createDataFrame(left, SCHEMA)).collect()}
+    rate = {r["doc_id"]: r["target"] / r["source_size"] if r["source_size"] else 0 for r in mixing.mixed_report(spark.createDataFrame(left, SCHEMA)).collect()}
+
+    def copies(i):  # also of documents that line dedup emptied
+        draw = int(hashlib.md5(f"mix-1:{i}".encode()).hexdigest()[:8], 16) / 2**32
+        return int(rate[i]) + (draw < rate[i] - int(rate[i]))
+
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
-    want = sorted((i, t, tuple(sp.encode(t))) for i, t, *_ in left for _ in range(rate[i][0] // rate[i][1] if rate[i][1] else 0))
-    assert got == want and len(corpus_pipeline.STAGES) == 5
+    want = sorted((i, t, tuple(sp.encode(t))) for i, t, *_ in left for _ in range(copies(i)))
+    assert got == want and any(not t for _, t, _ in got) and len(corpus_pipeline.STAGES) == 5
