@@ -1,16 +1,17 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
 Training takes at most EXAMPLES labelled documents of each label, drawn by a hash of the id, none longer than
-TRAIN_CHARS. Terms are words (runs of letters, lower-cased) and their first PREFIX bytes; those whose presence speaks
-for label 1, by a likelihood-ratio test and LIFT, enter the vocabulary, of TERMS at most. Examples are vectors of those terms
-(1 + ln tf, times idf, length 1).
+TRAIN_CHARS. Terms are words (runs of letters, lower-cased) and their first PREFIX bytes; all terms of the examples are
+the vocabulary, and all examples are in the index. Examples are vectors of their terms (1 + ln tf, times idf, length 1).
+The idf is multiplied with FLOOR and the absolute log ratio of the term's shares in the two labels, so a term weighs more
+the more it tells the labels apart, and none weighs nothing.
 
 The index is an inverted one with block maxima: examples stand in blocks, each term has its postings by block and its
-largest weight in each block. A query's bound for a block is the product of its weights with these maxima; blocks are
+largest weight in each block where it stands. A query's bound for a block is the product of its weights with these maxima; blocks are
 read by falling bound, a few at a time, until the bound falls below the NEAREST-th best cosine, so the neighbours are exact, ties by
 example number. Neighbours vote with weight 1 / (1.05 - cosine). A logistic fit on leave-one-out votes of the training
 examples, weighted back to the labels' true shares, gives the score; texts without any term of the vocabulary get the
-share of label 1 among such examples.
+share of label 1 among such examples, or of all examples if there are none.
 
 Scoring reads the whole text of every document, in one pass without a shuffle.
 """
@@ -28,9 +29,7 @@ from prefixlake.llm import wordhash
 from prefixlake.llm.lang_id import fold
 
 EXAMPLES, TRAIN_CHARS = 3000, 20_000
-PREFIX, TERMS, LEAST_G = 6, 4096, 26.0
-#: How many times the share of label-1 examples with a term must be that of the others.
-LIFT = 3
+PREFIX, FLOOR = 6, 0.05
 NEAREST, BLOCK, EVIDENCE = 15, 32, 3
 #: Blocks read before the bound is looked at; doubled each time. Answers that a task keeps, by query.
 FIRST, KEPT = 8, 50_000
@@ -80,21 +79,28 @@ class Index:
         slot = term * self.blocks + example // BLOCK
         order = np.argsort(slot, kind="stable")
         self.example, self.weight = example[order], weight[order]
-        self.begin = np.searchsorted(slot[order], np.arange(len(vocabulary) * self.blocks + 1))
-        self.top = np.zeros((len(vocabulary), self.blocks))
-        np.maximum.at(self.top.ravel(), slot, weight)
+        # a cell is a term's postings in a block
+        slot, start = np.unique(slot[order], return_index=True)
+        self.block, self.start = slot % self.blocks, np.append(start, len(order))
+        self.top = np.maximum.reduceat(self.weight, start) if len(start) else np.zeros(0)
+        self.begin = np.searchsorted(slot, np.arange(len(vocabulary) + 1) * self.blocks)
 
     def vector(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return vector(found, self.idf)
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int = NEAREST, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the ``k`` nearest examples with a cosine above 0, ``but`` left out."""
-        bound = weight @ self.top[term]
+        cell, n = spread(self.begin, term)
+        weight, block = np.repeat(weight, n), self.block[cell]
+        bound = np.bincount(block, weight * self.top[cell], minlength=self.blocks)
         blocks = np.argsort(-bound, kind="stable")[: np.count_nonzero(bound > 0)]
         best, cosine = np.zeros(0, np.int64), np.zeros(0)
         at, step = 0, FIRST
         while at < len(blocks) and not (len(best) == k and bound[blocks[at]] < cosine[-1] - 1e-12):
-            score = self._read(term, weight, blocks[at : at + step])
+            now = np.zeros(self.blocks, bool)
+            now[blocks[at : at + step]] = True
+            now = now[block]
+            score = self._read(cell[now], weight[now])
             near = np.flatnonzero(score > 0)
             near = near[near != but]
             best, cosine = np.append(best, near), np.append(cosine, np.minimum(score[near], 1.0).round(12))
@@ -106,13 +112,16 @@ class Index:
             at, step = at + step, 2 * step
         return best, cosine
 
-    def _read(self, term: np.ndarray, weight: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        """The cosines of the examples of ``blocks``, from these terms' postings there."""
-        slot = (term[:, None] * self.blocks + blocks).ravel()
-        start = self.begin[slot]
-        n = self.begin[slot + 1] - start
-        place = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return np.bincount(self.example[place], np.repeat(np.repeat(weight, len(blocks)), n) * self.weight[place], minlength=len(self.label))
+    def _read(self, cell: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """The cosines of the examples in these cells, which have all of the query's terms in their blocks."""
+        place, n = spread(self.start, cell)
+        return np.bincount(self.example[place], np.repeat(weight, n) * self.weight[place], minlength=len(self.label))
+
+
+def spread(begin: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places from ``begin[k]`` to ``begin[k + 1]`` of each k of ``at``, and how many they are."""
+    n = begin[at + 1] - begin[at]
+    return np.repeat(begin[at] - np.cumsum(n) + n, n) + np.arange(n.sum()), n
 
 
 def vector(found: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,28 +179,16 @@ def train(ids: np.ndarray, texts: list[str], label: np.ndarray, weight: np.ndarr
     vocabulary, place = np.unique(np.concatenate(each), return_inverse=True)
     n = np.array([(label == c).sum() for c in (0, 1)], float)
     seen = np.stack([np.bincount(place[label[owner] == c], minlength=len(vocabulary)) for c in (0, 1)]).astype(float)
-    share = seen.sum(axis=0) / n.sum()
-
-    def part(k: np.ndarray, m: float) -> np.ndarray:
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return np.nan_to_num(k * np.log(k / (m * share))) + np.nan_to_num((m - k) * np.log((m - k) / (m * (1 - share))))
-
-    g = 2 * (part(seen[0], n[0]) + part(seen[1], n[1]))
-    toxic = seen[1] * n[0] > LIFT * seen[0] * n[1]
-    good = np.flatnonzero((g >= LEAST_G) & toxic)
-    good = np.sort(good[np.argsort(-g[good], kind="stable")[:TERMS]])
-    want, idf = vocabulary[good], np.log(1 + n.sum() / (1 + seen[:, good].sum(axis=0)))
-    to = np.full(len(vocabulary), -1)
-    to[good] = np.arange(len(good))
-    flat = to[np.searchsorted(vocabulary, np.concatenate(found))]
+    tells = np.abs(np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1)))
+    idf = np.log(1 + n.sum() / (1 + seen.sum(axis=0))) * (FLOOR + tells)
+    flat = np.searchsorted(vocabulary, np.concatenate(found))
     whose = np.repeat(np.arange(len(found)), [len(h) for h in found])
-    flat, whose = flat[flat >= 0], whose[flat >= 0]
     cut = np.searchsorted(whose, np.arange(len(found) + 1))
     rows = [flat[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
     bare = np.array([not len(r) for r in rows])
-    p = (weight[bare] @ label[bare] + 0.5) / (weight[bare].sum() + 1)
+    p = (weight[bare] @ label[bare] + weight @ label / weight.sum()) / (weight[bare].sum() + 1)
     some = np.flatnonzero(~bare)
-    index = Index(want, idf, [vector(rows[i], idf) for i in some], label[some], ids[some])
+    index = Index(vocabulary, idf, [vector(rows[i], idf) for i in some], label[some], ids[some])
     x, y, w = [], [], []
     number = {int(d): k for k, d in enumerate(index.ids)}
     for i in some:

@@ -332,6 +332,17 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.toxicity(df, known.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_indexes_every_example_and_searches_every_text():
+    rows, labels = toxic_rows(200)
+    rows.append((200, "rarebadword beside plain talk", None, None, 0))
+    model = toxicity.train(np.arange(201), [r[1] for r in rows], np.array([c for _, c in labels] + [1]), np.ones(201))
+    assert sorted(model.index.ids.tolist()) == list(range(201))
+    for text, nearest in (("one rarebadword here", 200), (rows[1][1], 1)):  # a word of one example; a text without a toxic word
+        found = np.concatenate([h for _, h in toxicity.terms(pa.array([text]), model.index.vocabulary)])
+        _, best, cosine = model.score(found)
+        assert model.index.ids[best[0]] == nearest and cosine[0] > 0
+
+
 def test_neighbours_are_exact():
     rng = np.random.default_rng(3)
     idf = rng.uniform(1, 3, 40)
