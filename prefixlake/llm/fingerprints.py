@@ -1,6 +1,7 @@
 """Document fingerprints: a Merkle tree over pieces, paragraphs and sections.
 
-A paragraph is a line; its leaves are pieces of up to PIECE words (of one in short paragraphs). A section is a run of paragraphs that ends after a
+A paragraph is a line; its leaves are pieces, runs of words that end after a word whose hash is 0 modulo PIECE, or at the
+paragraph's end (so an edit moves no other piece's bounds). A section is a run of paragraphs that ends after a
 paragraph whose hash is 0 modulo SECTION (so an edit moves no other section's bounds), or at the text's end. The hash of
 each inner node is that of its children's hashes. The root, SHA-256 over the sections' digests, tests equality; where
 roots differ, sections that differ lead to paragraphs and these to pieces, which locate the edit.
@@ -19,8 +20,6 @@ from pyspark.sql import functions as F
 from prefixlake.llm.common import let, text_of
 
 PIECE = 4
-#: Paragraphs shorter than this have pieces of one word.
-SHORT = 120
 SECTION = 8
 
 
@@ -31,8 +30,14 @@ def tree(text: Column) -> Column:
     each paragraph enters its section by SHA-256 of its text, and pieces compare by 32 bits.
     """
     lines = F.split(text, "\n", -1)
-    runs = lambda x, n: F.regexp_extract_all(x, F.lit(r"(?:[^ ]+ ?| ){1,%d}" % n), F.lit(0))
-    pieces = lambda x: F.transform(F.when(F.length(x) < SHORT, runs(x, 1)).otherwise(runs(x, PIECE)), lambda p: F.hash(p))
+
+    def pieces(line: Column) -> Column:
+        def of(w: Column) -> Column:
+            ends = F.filter(F.transform(w, lambda x, i: F.when((F.pmod(F.xxhash64(x), F.lit(PIECE)) == 0) | (i == F.size(w) - 1), i + 1)), lambda e: e.isNotNull())
+            start = lambda c, k: F.coalesce(F.get(c, k - 1), F.lit(0))
+            return let(ends, lambda c: F.transform(c, lambda e, k: F.hash(F.array_join(F.slice(w, start(c, k) + 1, e - start(c, k)), ""))))
+
+        return let(F.regexp_extract_all(line, F.lit("[^ ]+ ?| "), F.lit(0)), of)
 
     def grown(lines: Column) -> Column:
         digests = F.transform(lines, lambda x: F.sha2(x, 256))
@@ -93,7 +98,7 @@ def with_next(rows: DataFrame, make: Callable[[DataFrame], DataFrame], *columns:
 
     ``rows`` has doc_id, text and digest; ``make`` adds to each row what it has from the text. Rows are dealt by ranges
     of doc_id, of which the driver holds the bounds; within a range a window looks ahead, and the last row of each takes
-    the first of the range after it (one row for each range).
+    the first of the range after it (one row for each range, joined by the range's number).
     """
     parts = min(10_000, 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.withColumn("part", ranges(rows, parts))
@@ -101,10 +106,11 @@ def with_next(rows: DataFrame, make: Callable[[DataFrame], DataFrame], *columns:
     first = dealt.groupBy("part").agg(F.min(F.struct(-F.col("doc_id"), "digest")).alias("k")).select(F.col("part").alias("p"), F.col("k.digest").alias("d"))
     found = dealt.join(F.broadcast(first), (F.col("part") == F.col("p")) & (F.col("digest") == F.col("d"))).dropDuplicates(["p"])  # equal digests: equal texts
     heads = make(found).select("p", F.struct(*columns).alias("head"))
-    order = Window.orderBy(F.col("p").desc())  # a row for each range
-    ends = heads.select(F.col("p"), F.coalesce(F.lead("head").over(order), F.first("head").over(order)).alias("head"))
+    order = Window.orderBy(F.col("p").desc())  # over the ranges' numbers alone
+    after = first.select(F.col("p").alias("of"), F.coalesce(F.lead("p").over(order), F.first("p").over(order)).alias("then"))
+    ends = after.join(heads, F.col("then") == F.col("p")).select(F.col("of").alias("p"), "head")
     ahead = make(dealt).withColumn("next", F.lead(F.struct(*columns)).over(near))
-    return ahead.join(F.broadcast(ends), F.col("part") == F.col("p")).withColumn("next", F.coalesce("next", "head")).drop("p", "part", "head")
+    return ahead.join(ends, F.col("part") == F.col("p"), "left").withColumn("next", F.coalesce("next", "head")).drop("p", "part", "head")
 
 
 def edit_report(docs: DataFrame) -> DataFrame:

@@ -245,6 +245,14 @@ def test_fingerprints(spark, docs, rows):
     assert "fingerprint" in fingerprints.fingerprints(clashing(docs)).columns
 
 
+def test_fingerprints_keep_pieces_after_an_early_edit(spark):
+    long = [prose(70 + k, 100).replace("\n", " ") for k in range(8)]
+    pairs = [(t, t.split(" ", 1)[1]) for t in long] + [(t[:119], t[:119] + "tail") for t in long]  # a word less; across 120 characters
+    both = spark.createDataFrame(pairs, "a string, b string").select(fingerprints.tree(F.col("a")).alias("a"), fingerprints.tree(F.col("b")).alias("b"))
+    near = both.select(fingerprints.likeness(fingerprints.leaves(F.col("a")), fingerprints.leaves(F.col("b")), F.col("a.root"), F.col("b.root")).alias("x")).collect()
+    assert min(r["x"] for r in near[:8]) > 0.8 and np.median([r["x"] for r in near[8:]]) > 0.5, near
+
+
 def test_fingerprints_locate_an_edit(spark):
     text = "\n".join(f"paragraph {k} holds words of its own number {k}" for k in range(30))
     pair = spark.createDataFrame([(text, text.replace("paragraph 12 holds", "paragraph 12 held"))], "a string, b string")
