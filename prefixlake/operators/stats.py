@@ -23,6 +23,19 @@ def top_ingresses(active: DataFrame, k: int) -> DataFrame:
     return active.groupBy("mui").agg(F.count("*").alias("routes")).orderBy(F.desc("routes"), "mui").limit(k)
 
 
+def first_prefixes(routes: DataFrame, most: int = 50_000) -> DataFrame:
+    """The first ``most`` prefixes by family, length and address, as a view shows them, and their routes."""
+    return routes.groupBy(*BITS).agg(F.count("*").alias("routes")).orderBy(*BITS).limit(most)
+
+
+def placed(rows: DataFrame, *order: Column) -> DataFrame:
+    """``rows`` and their ``place`` (from 1) by ``order``. Rows are dealt by ranges of the order; a window numbers each range's rows, another one the ranges alone."""
+    dealt = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    before = dealt.groupBy("__part").agg(F.count("*").alias("n")).withColumn("__before", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__part", "__before")
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return dealt.withColumn("__k", within).join(before, "__part").withColumn("place", F.col("__before") + F.col("__k")).drop("__part", "__before", "__k")
+
+
 def adj_rib_in(active: DataFrame, ingresses: DataFrame) -> DataFrame:
     """Active routes of each session and family; path children count for their session."""
     per = active.groupBy("mui", "afi", "safi").agg(F.count("*").alias("n"))

@@ -2,38 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from prefixlake.functions import attributes as A
 from prefixlake.functions.prefix import BITS, literal
-from prefixlake.operators import flowspec, outputs, rov
+from prefixlake.operators import flowspec, outputs, rov, stats
 from prefixlake.operators import ingresses as I
 from prefixlake.operators import rib as R
 from prefixlake.operators import search as S
 from prefixlake.plans.policy import logged
-from prefixlake.plans.queries_rib import COVER, SESSIONS, active, rib_of
+from prefixlake.plans.queries_rib import active, rib_of
 from prefixlake.plans.registry import query
+from prefixlake.plans.rov_sql import COVER, HALF
 from prefixlake.sources import demo
 from prefixlake.sources.demo import with_
 
 RULES = """rl AS (SELECT o_orderkey AS rule, o_custkey % 20 AS mui, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE afi END AS afi, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE plen END AS plen, p_hi, p_lo
-  FROM (SELECT o.*, a.afi, a.plen, a.p_hi, a.p_lo FROM orders o JOIN (SELECT DISTINCT pk, afi, plen, p_hi, p_lo FROM pfx) a ON a.pk = o.o_orderkey % 211) WHERE o_orderkey < 400)"""
+  FROM (SELECT o.*, a.afi, a.plen, a.p_hi, a.p_lo FROM orders o JOIN (SELECT DISTINCT pk, afi, plen, p_hi, p_lo FROM pfx) a ON a.pk = o.o_orderkey % 211))"""
 
 
 def _rules(spark, sf_dir):
     pk = demo._prefix(spark.range(211).selectExpr("id AS pk"))
-    rows = demo.table(spark, sf_dir, "orders").where("o_orderkey < 400").withColumn("pk", F.expr("o_orderkey % 211")).join(pk, "pk")
+    rows = demo.table(spark, sf_dir, "orders").withColumn("pk", F.expr("o_orderkey % 211")).join(pk, "pk")
     none = F.col("o_orderkey") % 9 == 0
     return rows.select(F.col("o_orderkey").alias("rule"), (F.col("o_custkey") % 20).alias("mui"), F.when(~none, F.col("afi")).alias("afi"), F.when(~none, F.col("plen")).alias("plen"), "p_hi", "p_lo")
 
 
 def _peers(spark, sf_dir):
     """Originators: four peers share one."""
-    return demo.ingresses(spark, sf_dir).where("id < 1000000").selectExpr("id", "id % 4 AS originator", "remote_asn")
+    return demo.ingresses(spark, sf_dir).selectExpr("id", "id % 4 AS originator", "remote_asn")
 
 
-PEERS = "pe AS (SELECT id, id % 4 AS originator, remote_asn FROM ing WHERE id < 1000000)"
+PEERS = "pe AS (SELECT id, id % 4 AS originator, remote_asn FROM ing)"
 PFX = f"pfx AS (SELECT * FROM {demo._sql_prefix('SELECT generate_series AS pk FROM generate_series(0, 210)')})"
 
 
@@ -50,10 +50,10 @@ def l2_flowspec_validity(spark, sf_dir):
     return flowspec.validity(_rules(spark, sf_dir), rib_of(spark, sf_dir), _peers(spark, sf_dir)).select("rule", "mui", "validity")
 
 
-@query(with_("ev") + "SELECT seq, as1 || ' ' || as2 || ' ' || as3 AS path, CASE WHEN as_set THEN '' ELSE 'AS' || as3 END AS origin, '65000:' || (community - 4259840000) AS communities, as1 || ':' || l1 || ':' || l2 AS large FROM ev WHERE mui = 1")
+@query(with_("ev") + "SELECT seq, as1 || ' ' || as2 || ' ' || as3 AS path, CASE WHEN as_set THEN '' ELSE 'AS' || as3 END AS origin, '65000:' || (community - 4259840000) AS communities, as1 || ':' || l1 || ':' || l2 AS large FROM ev")
 def u10_texts(spark, sf_dir):
     a = F.col("attrs")
-    rows = demo.route_events(spark, sf_dir).where("mui = 1")
+    rows = demo.route_events(spark, sf_dir)
     return rows.select("seq", A.fmt_path(a).alias("path"), A.fmt_origin(a).alias("origin"), A.fmt_communities(a).alias("communities"), A.fmt_large_communities(a).alias("large"))
 
 
@@ -137,11 +137,13 @@ def k18_pipes(spark, sf_dir):
     return lines.where(outputs.includes(F.col("o_orderpriority"), "HIGH") & ~outputs.includes(F.col("o_orderstatus"), "F")).select("line")
 
 
-@query(with_("sev", **SESSIONS) + "SELECT mui, seq, prev, status FROM (SELECT mui, seq, lag(status) OVER (PARTITION BY mui ORDER BY seq, safi, afi, plen, p_hi, p_lo, rule) AS prev, status FROM srib) WHERE prev IS NOT NULL AND prev <> status")
-def w3_status_changes(spark, sf_dir):
-    rows = R.fold(demo.session_events(spark, sf_dir))
-    by = Window.partitionBy("mui").orderBy("seq", "safi", "afi", "plen", "p_hi", "p_lo", "nlri_raw")
-    return rows.withColumn("prev", F.lag("status").over(by)).where("prev <> status").select("mui", "seq", "prev", "status")
+@query(with_("act", "vrp") + ", " + HALF + " SELECT a.afi, a.plen, a.p_hi, a.p_lo, a.mui, s1.rov AS previous, s2.rov AS current FROM act a JOIN s1 ON a.safi = 1 AND s1.afi = a.afi AND s1.plen = a.plen AND s1.p_hi = a.p_hi AND s1.p_lo = a.p_lo AND s1.origin = a.origin JOIN s2 ON s2.afi = a.afi AND s2.plen = a.plen AND s2.p_hi = a.p_hi AND s2.p_lo = a.p_lo AND s2.origin = a.origin WHERE s1.rov <> s2.rov")
+def w3_rov_status_changes(spark, sf_dir):
+    """Of each route whose origin validation a delta of VRPs changes, the status before and after."""
+    vrp = demo.vrps(spark, sf_dir).where("action = 'announce'").withColumn("max_len", F.coalesce("max_len", "plen"))
+    names = [*BITS, "asn", "max_len"]
+    out = rov.revalidate(active(spark, sf_dir), vrp.where("seq % 7 <> 0").select(names).distinct(), vrp.select(names).distinct())
+    return out.where("has_changed").select(*BITS, "mui", "previous", "current")
 
 
 @query(with_("ing") + "SELECT c.n_nationkey AS cand, min(i.id) AS existing FROM nation c LEFT JOIN ing i ON i.ingress_type = 'bmp' AND i.remote_addr = 167837696 + c.n_nationkey AND i.name IS NOT DISTINCT FROM c.n_name AND i.state IS DISTINCT FROM 'Connected' GROUP BY c.n_nationkey")
@@ -157,12 +159,12 @@ def j15_first_listed_peer(spark, sf_dir):
 
 
 @query(
-    with_("sev", "ing") + """, d AS (SELECT DISTINCT mui AS id FROM sev WHERE kind = 'peer_down' AND mui < 20), s AS (SELECT d.id AS cause, d.id AS mui FROM d
+    with_("sev", "ing") + """, d AS (SELECT DISTINCT mui AS id FROM sev WHERE kind = 'peer_down'), s AS (SELECT d.id AS cause, d.id AS mui FROM d
   UNION SELECT d.id, v.id FROM d JOIN ing i ON i.id = d.id AND i.ingress_type = 'bgpViaBmp' JOIN ing v ON v.ingress_type = 'bgpViaBmp' AND v.parent_ingress = i.parent_ingress AND v.remote_addr = i.remote_addr AND v.remote_asn = i.remote_asn)
   SELECT cause AS seq, mui FROM s UNION SELECT s.cause, c.id FROM s JOIN ing c ON c.ingress_type = 'bgpPath' AND c.parent_ingress = s.mui"""
 )
 def s18_peer_down_fan_out(spark, sf_dir):
-    downs = demo.session_events(spark, sf_dir).where("kind = 'peer_down' AND mui < 20").select("mui", F.col("mui").alias("seq")).distinct()
+    downs = demo.session_events(spark, sf_dir).where("kind = 'peer_down'").select("mui", F.col("mui").alias("seq")).distinct()
     return I.down_fan_out(downs, demo.ingresses(spark, sf_dir))
 
 
@@ -183,10 +185,10 @@ def u25_peer_defaults(spark, sf_dir):
     return demo.ingresses(spark, sf_dir).select("id", F.coalesce("remote_asn", F.lit(4294967295)).alias("peer_asn"), F.coalesce("remote_addr", F.lit(0)).alias("peer_addr"))
 
 
-@query(with_("act") + "SELECT afi, plen, p_hi, p_lo, count(*) AS routes FROM act WHERE safi = 1 GROUP BY ALL ORDER BY afi, plen, p_hi, p_lo LIMIT 50")
+@query(with_("act") + "SELECT afi, plen, p_hi, p_lo, count(*) AS routes FROM act WHERE safi = 1 GROUP BY ALL ORDER BY afi, plen, p_hi, p_lo LIMIT 50000")
 def q15_first_prefixes(spark, sf_dir):
-    """A page of prefixes, capped as a view is."""
-    return active(spark, sf_dir).where("safi = 1").groupBy(*BITS).agg(F.count("*").alias("routes")).orderBy(*BITS).limit(50)
+    """The first prefixes of a view, capped at 50,000 as a view is."""
+    return stats.first_prefixes(active(spark, sf_dir).where("safi = 1"))
 
 
 @query()

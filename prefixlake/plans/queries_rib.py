@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from prefixlake.functions import attributes as A
 from prefixlake.functions.prefix import BITS, literal
 from prefixlake.operators import rib as R
+from prefixlake.operators import rov
 from prefixlake.operators import search as S
 from prefixlake.operators.search import RouteQuery
 from prefixlake.plans.registry import query
+from prefixlake.plans.rov_sql import COVER, VALID
 from prefixlake.sources import demo
 from prefixlake.sources.demo import with_
 
@@ -147,9 +149,6 @@ def q5_sections(spark, sf_dir):
     return rows.groupBy("section").agg(F.count("*").alias("routes"), F.count_distinct("plen", "p_lo").alias("prefixes"))
 
 
-COVER = "w.afi = t.afi AND w.plen <= t.plen AND CASE WHEN t.afi = 1 THEN w.p_lo = t.p_lo - t.p_lo % (1::BIGINT << (32 - w.plen)) ELSE w.p_hi = t.p_hi - t.p_hi % (1::BIGINT << (64 - w.plen)) END"
-
-
 @query(with_("act", "vrp", t="SELECT DISTINCT afi, plen, p_hi, p_lo FROM vrp", p="SELECT DISTINCT afi, plen, p_hi, p_lo FROM act WHERE safi = 1") + f"SELECT t.afi, t.plen, t.p_hi, t.p_lo, max(w.plen) AS m_plen FROM t JOIN p w ON {COVER} GROUP BY ALL")
 def q4_longest_match(spark, sf_dir):
     rows = S.longest_match(rib_of(spark, sf_dir), demo.vrps(spark, sf_dir))
@@ -181,11 +180,11 @@ def q11_multicast_dump(spark, sf_dir):
     return slim(found(spark, sf_dir, safi=2))
 
 
-@query(with_("sev", **SESSIONS) + "SELECT s.afi, s.plen, s.p_hi, s.p_lo, s.mui, s.rule, hex(encode(s.rule)) AS nlri_hex FROM srib s WHERE safi = 133 AND status = 'active' AND afi = 1 AND p_lo < 2147483648 AND mui < 20")
+@query(with_("sev", **SESSIONS) + "SELECT s.afi, s.plen, s.p_hi, s.p_lo, s.mui, s.rule, hex(encode(s.rule)) AS nlri_hex FROM srib s WHERE safi = 133 AND status = 'active' AND afi = 1 AND p_lo < 2147483648")
 def q12_flowspec_search(spark, sf_dir):
     rib = R.fold(demo.session_events(spark, sf_dir))
     rows = S.search(rib, demo.ingresses(spark, sf_dir), RouteQuery(prefix=WIDE, include=("moreSpecifics",), safi=133))
-    return rows.where("mui < 20").select(*BITS, "mui", F.col("nlri_raw").cast("string").alias("rule"), F.hex("nlri_raw").alias("nlri_hex"))
+    return rows.select(*BITS, "mui", F.col("nlri_raw").cast("string").alias("rule"), F.hex("nlri_raw").alias("nlri_hex"))
 
 
 @query(with_("ing") + "SELECT id, name FROM ing WHERE remote_addr BETWEEN 167772160 AND 167772160 + 15 OR remote_addr = 167837697")
@@ -219,6 +218,13 @@ def f4_filter_peer_address(spark, sf_dir):
     return slim(found(spark, sf_dir, peer_address=167772164))
 
 
+@query(with_("act", "vrp") + f", {VALID} SELECT a.afi, a.plen, a.p_hi, a.p_lo, mui, seq FROM act a JOIN st s ON a.safi = 1 AND s.afi = a.afi AND s.plen = a.plen AND s.p_hi = a.p_hi AND s.p_lo = a.p_lo AND s.origin = a.origin WHERE s.rov = 'invalid'")
+def f6_filter_rov_status(spark, sf_dir):
+    """Routes whose origin validation says invalid."""
+    checked = rov.with_rov(rib_of(spark, sf_dir), rov.fold_vrps(demo.vrps(spark, sf_dir)))
+    return slim(S.search(checked, demo.ingresses(spark, sf_dir), RouteQuery(rov_status="invalid")))
+
+
 @query(with_("act") + f"SELECT {SLIM}, otc FROM act WHERE safi = 1 AND otc IS NOT NULL AND otc NOT IN (as1, as2, as3)")
 def f5_filter_function(spark, sf_dir):
     return slim(found(spark, sf_dir, policy="hidden_hop"), F.col("attrs.otc").alias("otc"))
@@ -309,17 +315,26 @@ def x8_prefix_text(spark, sf_dir):
     return active(spark, sf_dir).where("safi = 1 AND afi = 1").select("mui", "seq", text(F.col("afi"), F.col("plen"), F.col("p_hi"), F.col("p_lo")).alias("prefix"))
 
 
-@query()
+#: The attributes of a route as JSON in SQL.
+ATTRS_JSON = """'{"as_path":[' || as1 || ',' || as2 || ',' || as3 || '],"as_set":' || as_set || ',"communities":[' || community || '],"large_communities":[{"ga":' || as1 || ',"l1":' || l1 || ',"l2":' || l2 || '}]'
+  || CASE WHEN otc IS NULL THEN '' ELSE ',"otc":' || otc END || ',"med":' || med || ',"codes":[1,2,3,4,8,32' || CASE WHEN otc IS NULL THEN '' ELSE ',35' END || ']}'"""
+TEXT_V4 = "(p_lo >> 24) || '.' || ((p_lo >> 16) % 256) || '.' || ((p_lo >> 8) % 256) || '.' || (p_lo % 256) || '/' || plen"
+
+
+@query(
+    with_("act") + f"""SELECT '{{"section":"' || section || '","nlri":"' || {TEXT_V4} || '","routes":[' || string_agg('{{"mui":' || mui || ',"status":"active","pathAttributes":' || {ATTRS_JSON} || '}}', ',' ORDER BY mui) || ']}}' AS value
+  FROM (SELECT *, CASE WHEN {_is(EXACT)} THEN 'data' WHEN {_inside(EXACT)} THEN 'moreSpecifics' WHEN {_around(EXACT)} THEN 'lessSpecifics' END AS section FROM act WHERE safi = 1) WHERE section IS NOT NULL GROUP BY section, plen, p_lo"""
+)
 def x9_nested_json(spark, sf_dir):
-    """One document: the routes of a prefix, and those included."""
+    """A document for each prefix of a search, and those included."""
     from prefixlake.plans.sinks import nested_json
 
     return nested_json(found(spark, sf_dir, prefix=EXACT, include=("moreSpecifics", "lessSpecifics")))
 
 
-@query(with_("act", "ing") + "SELECT a.mui, a.seq, i.parent_ingress AS bmp_router, i.remote_asn AS peer_asn, i.peer_rib_type AS ribview, a.origin AS origin_asn, a.otc, a.as1 || ' ' || a.as2 || ' ' || a.as3 AS as_path, '65000:' || (a.community - 4259840000) AS communities FROM act a JOIN ing i ON i.id = a.mui WHERE a.safi = 1 AND a.plen <= 12 AND a.afi = 1")
+@query(with_("act", "ing") + "SELECT a.mui, a.seq, i.parent_ingress AS bmp_router, i.remote_asn AS peer_asn, i.peer_rib_type AS ribview, a.origin AS origin_asn, a.otc, a.as1 || ' ' || a.as2 || ' ' || a.as3 AS as_path, '65000:' || (a.community - 4259840000) AS communities FROM act a JOIN ing i ON i.id = a.mui WHERE a.safi = 1")
 def x10_route_details(spark, sf_dir):
-    rows = S.decorated(active(spark, sf_dir).where("safi = 1 AND plen <= 12 AND afi = 1"), demo.ingresses(spark, sf_dir)).where("ingress IS NOT NULL")
+    rows = S.decorated(active(spark, sf_dir).where("safi = 1"), demo.ingresses(spark, sf_dir)).where("ingress IS NOT NULL")
     a = F.col("attrs")
     return rows.select("mui", "seq", F.col("ingress.parent_ingress").alias("bmp_router"), F.col("ingress.remote_asn").alias("peer_asn"), F.col("ingress.peer_rib_type").alias("ribview"), A.origin_asn(a).alias("origin_asn"), a["otc"].alias("otc"), A.fmt_path(a).alias("as_path"), A.fmt_communities(a).alias("communities"))
 

@@ -10,8 +10,9 @@ from prefixlake.functions.prefix import BITS
 from prefixlake.operators import ingresses as I
 from prefixlake.operators import messages, rov, stats
 from prefixlake.operators import rib as R
-from prefixlake.plans.queries_rib import COVER, SESSIONS, active, rib_of
+from prefixlake.plans.queries_rib import SESSIONS, active, rib_of
 from prefixlake.plans.registry import query
+from prefixlake.plans.rov_sql import HALF, VALID
 from prefixlake.sources import demo
 from prefixlake.sources.demo import with_
 
@@ -35,20 +36,20 @@ def j4_children(spark, sf_dir):
     return ing.select("id").join(n, "id", "left").select("id", F.coalesce("children", F.lit(0)).alias("children"), F.coalesce("paths", F.lit(0)).alias("paths"))
 
 
-CANDIDATES = "SELECT id * 3 AS cand, parent_ingress, remote_addr, remote_asn, ingress_type, peer_rib_type FROM ing WHERE id < 1000000 AND id % 2 = 0"
+CANDIDATES = "SELECT id * 3 AS cand, parent_ingress, remote_addr, remote_asn, ingress_type, peer_rib_type FROM ing"
 
 
 @query(with_("ing", c=CANDIDATES) + "SELECT c.cand, min(i.id) AS existing FROM c LEFT JOIN ing i ON i.parent_ingress = c.parent_ingress AND i.remote_addr = c.remote_addr AND i.remote_asn = c.remote_asn AND i.ingress_type IS NOT DISTINCT FROM c.ingress_type AND i.peer_rib_type IS NOT DISTINCT FROM c.peer_rib_type AND i.state IS DISTINCT FROM 'Connected' GROUP BY c.cand")
 def j8_find_existing_peer(spark, sf_dir):
     ing = demo.ingresses(spark, sf_dir)
-    cand = ing.where("id < 1000000 AND id % 2 = 0").withColumn("cand", F.col("id") * 3)
+    cand = ing.withColumn("cand", F.col("id") * 3)
     return I.find_existing(cand, ing, "cand", ("parent_ingress", "remote_addr", "remote_asn"), ("ingress_type", "peer_rib_type"))
 
 
 @query(with_("ing", c=CANDIDATES) + "SELECT c.cand, min(i.id) AS existing FROM c LEFT JOIN ing i ON i.remote_addr = c.remote_addr AND i.remote_asn = c.remote_asn AND i.ingress_type = c.ingress_type GROUP BY c.cand")
 def j9_find_existing_session(spark, sf_dir):
     ing = demo.ingresses(spark, sf_dir)
-    cand = ing.where("id < 1000000 AND id % 2 = 0").withColumn("cand", F.col("id") * 3)
+    cand = ing.withColumn("cand", F.col("id") * 3)
     return I.find_existing(cand, ing, "cand", ("remote_addr", "remote_asn", "ingress_type"), connected=True)
 
 
@@ -229,11 +230,11 @@ def w6_register_merge(spark, sf_dir):
     return I.merged(updates)
 
 
-@query("SELECT o_orderkey AS line FROM orders WHERE o_orderkey >= (SELECT min(o_orderkey) FROM orders WHERE contains(lower(o_orderpriority), 'urgent') AND o_orderkey > 40)")
+@query("SELECT o_orderkey AS line FROM orders WHERE o_orderkey >= (SELECT min(o_orderkey) FROM orders WHERE contains(lower(o_orderpriority), 'urgent'))")
 def w7_begin(spark, sf_dir):
     """Lines from the first one that matches on; the first one is one aggregate."""
     lines = demo.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("line"), F.col("o_orderpriority").alias("text"))
-    return stats.begin(lines, (F.lower("text").contains("urgent")) & (F.col("line") > 40)).select("line")
+    return stats.begin(lines, F.lower("text").contains("urgent")).select("line")
 
 
 @query("""WITH e AS (SELECT event_id AS seq, user_id % 40 AS mui, CASE WHEN event_id % 5 > 0 THEN user_id % 4 END AS path_id, CASE WHEN event_type = 'purchase' THEN 'withdraw' ELSE 'announce' END AS kind FROM events),
@@ -286,10 +287,6 @@ def r15_garbage(spark, sf_dir):
     return I.reclaimed(due.where("id % 3 <> 0"), due)
 
 
-VALID = f"""pr AS (SELECT DISTINCT afi, plen, p_hi, p_lo, origin FROM act WHERE safi = 1 AND origin IS NOT NULL), hold AS (SELECT DISTINCT afi, plen, p_hi, p_lo, asn, max_len FROM (SELECT afi, plen, p_hi, p_lo, asn, coalesce(max_len, plen) AS max_len, arg_max(action, seq) AS action FROM vrp GROUP BY ALL) WHERE action = 'announce'),
-  st AS (SELECT t.afi, t.plen, t.p_hi, t.p_lo, t.origin, CASE WHEN max(CASE WHEN w.asn = t.origin AND t.plen <= w.max_len THEN 1 ELSE 0 END) = 1 THEN 'valid' WHEN count(w.asn) > 0 THEN 'invalid' ELSE 'notFound' END AS rov FROM pr t LEFT JOIN hold w ON {COVER} GROUP BY ALL)"""
-
-
 @query(with_("act", "vrp") + ", " + VALID + " SELECT a.mui, coalesce(s.rov, 'notChecked') AS rov, count(*) AS n FROM act a LEFT JOIN st s ON a.safi = 1 AND s.afi = a.afi AND s.plen = a.plen AND s.p_hi = a.p_hi AND s.p_lo = a.p_lo AND s.origin = a.origin GROUP BY ALL")
 def v2_origin_validation(spark, sf_dir):
     rows = rov.with_rov(active(spark, sf_dir), rov.fold_vrps(demo.vrps(spark, sf_dir)))
@@ -307,13 +304,6 @@ def v4_vrp_fold(spark, sf_dir):
     return rov.fold_vrps(demo.vrps(spark, sf_dir)).select(*BITS, "asn", "max_len")
 
 
-HALF = f"""pr AS (SELECT DISTINCT afi, plen, p_hi, p_lo, origin FROM act WHERE safi = 1 AND origin IS NOT NULL), allv AS (SELECT DISTINCT afi, plen, p_hi, p_lo, asn, coalesce(max_len, plen) AS max_len, seq % 7 = 0 AS d FROM vrp WHERE action = 'announce'),
-  bef AS (SELECT DISTINCT afi, plen, p_hi, p_lo, asn, max_len FROM allv WHERE NOT d), aft AS (SELECT DISTINCT afi, plen, p_hi, p_lo, asn, max_len FROM allv),
-  delta AS (SELECT * FROM aft EXCEPT SELECT * FROM bef), tch AS (SELECT DISTINCT t.* FROM pr t JOIN delta w ON {COVER}),
-  s1 AS (SELECT t.*, CASE WHEN max(CASE WHEN w.asn = t.origin AND t.plen <= w.max_len THEN 1 ELSE 0 END) = 1 THEN 'valid' WHEN count(w.asn) > 0 THEN 'invalid' ELSE 'notFound' END AS rov FROM tch t LEFT JOIN bef w ON {COVER} GROUP BY ALL),
-  s2 AS (SELECT t.*, CASE WHEN max(CASE WHEN w.asn = t.origin AND t.plen <= w.max_len THEN 1 ELSE 0 END) = 1 THEN 'valid' WHEN count(w.asn) > 0 THEN 'invalid' ELSE 'notFound' END AS rov FROM tch t LEFT JOIN aft w ON {COVER} GROUP BY ALL)"""
-
-
 @query(with_("act", "vrp") + ", " + HALF + " SELECT s1.rov AS previous, s2.rov AS current, count(*) AS n FROM act a JOIN s1 ON a.safi = 1 AND s1.afi = a.afi AND s1.plen = a.plen AND s1.p_hi = a.p_hi AND s1.p_lo = a.p_lo AND s1.origin = a.origin JOIN s2 ON s2.afi = a.afi AND s2.plen = a.plen AND s2.p_hi = a.p_hi AND s2.p_lo = a.p_lo AND s2.origin = a.origin GROUP BY ALL")
 def v5_revalidation(spark, sf_dir):
     """A delta of VRPs arrives; the routes at or under them, before and after."""
@@ -323,10 +313,9 @@ def v5_revalidation(spark, sf_dir):
     return out.groupBy("previous", "current").agg(F.count("*").alias("n"))
 
 
-@query(with_("ing") + "SELECT id, row_number() OVER (ORDER BY remote_addr NULLS FIRST, id) AS place FROM ing WHERE ingress_type IN ('bgp', 'bmp') ORDER BY remote_addr NULLS FIRST, id LIMIT 25")
+@query(with_("ing") + "SELECT id, row_number() OVER (ORDER BY remote_addr NULLS FIRST, id) AS place FROM ing WHERE ingress_type IN ('bgp', 'bmp')")
 def o1_neighbors_by_address(spark, sf_dir):
-    ing = demo.ingresses(spark, sf_dir).where("ingress_type IN ('bgp', 'bmp')").orderBy(F.col("remote_addr").asc_nulls_first(), "id").limit(25)
-    return ing.select("id", F.row_number().over(Window.orderBy(F.col("remote_addr").asc_nulls_first(), "id")).cast("long").alias("place"))
+    return stats.placed(demo.ingresses(spark, sf_dir).where("ingress_type IN ('bgp', 'bmp')"), F.col("remote_addr").asc_nulls_first(), F.col("id").asc()).select("id", "place")
 
 
 @query(with_("sev", **SESSIONS) + "SELECT mui, count(*) FILTER (WHERE status = 'active') AS active, count(*) FILTER (WHERE status = 'withdrawn') AS withdrawn FROM srib GROUP BY mui")

@@ -15,13 +15,11 @@ def json_lines(rows: DataFrame) -> DataFrame:
 
 
 def nested_json(rows: DataFrame) -> DataFrame:
-    """One JSON document for a search: ``data`` and what was included, by prefix. For answers about one prefix, not for dumps."""
+    """One JSON text for each section and prefix of a search: its routes by mui. A task holds one prefix's routes at most."""
     shown = text(F.col("afi"), F.col("plen"), F.col("p_hi"), F.col("p_lo"))
     route = F.struct("mui", "status", F.col("attrs").alias("pathAttributes"))
     grouped = rows.groupBy("section", "afi", shown.alias("nlri")).agg(F.sort_array(F.collect_list(route)).alias("routes"))
-    section = lambda s: F.sort_array(F.collect_list(F.when(F.col("section") == s, F.struct("afi", "nlri", "routes"))))
-    one = grouped.agg(section("data").alias("data"), section("moreSpecifics").alias("more"), section("lessSpecifics").alias("less"))
-    return one.select(F.to_json(F.struct(F.get("data", F.lit(0)).alias("data"), F.struct(F.col("more").alias("moreSpecifics"), F.col("less").alias("lessSpecifics")).alias("included"))).alias("value"))
+    return grouped.select(F.to_json(F.struct("section", "nlri", "routes")).alias("value"))
 
 
 def broker_messages(outputs: DataFrame, ingresses: DataFrame, topic: str = "routes/{id}") -> DataFrame:
