@@ -1,8 +1,9 @@
 """Quality rules with adaptive thresholds.
 
 Each text gets four ratios (word length, symbols, repeated lines, repeated word runs). A quantile sketch of each ratio
-is kept per language and source; the quartiles of that sketch give fences (Tukey's, plus a least spread), and documents
-outside a fence are rejected. The sketch counts values in bins of fixed relative width (1/64, exact below 128), so
+is kept per language and source; a fence stands beyond a tail quantile of that sketch, by a multiple of the way from the
+median to it (and a small floor), and documents outside a fence are rejected. Ratios that are zero in most texts have
+their tail at the 99th percentile, so that a source's own few repeats set its fence. The sketch counts values in bins of fixed relative width (1/64, exact below 128), so
 sketches merge by adding counts, in any order, with the same result; small groups use the merged sketch of their
 language, and then that of the whole corpus.
 
@@ -22,12 +23,11 @@ MIN_WORDS = 20
 REPEAT_PERCENT = 30
 #: Documents from which a group of language and source has thresholds of its own.
 MIN_DOCS = 200
-#: Fences stand at this many interquartile ranges beyond the quartiles, plus SLACK, in thousandths.
-REACH = 3
-SLACK = {"word_len": 1500, "symbols": 100, "dup_lines": 350, "repeats": 300}
+#: Of each metric: the tail quantile (per mille), how many times the way from the median to it a fence stands beyond, and what it stands further in any case, in thousandths.
+FENCES = {"word_len": (900, 3, 500), "symbols": (900, 3, 20), "dup_lines": (990, 1, 20), "repeats": (990, 1, 20)}
 #: Metrics with a lower fence as well.
 TWO_SIDED = ("word_len",)
-METRICS = tuple(SLACK)
+METRICS = tuple(FENCES)
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -90,18 +90,14 @@ def fences(bins: DataFrame, *keys: str) -> DataFrame:
     merged = bins.groupBy(*keys, "metric", "bin").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*keys, "metric")
     ranked = merged.withColumn("upto", F.sum("n").over(group.orderBy("bin"))).withColumn("docs", F.sum("n").over(group))
-    quartiles = ranked.groupBy(*keys, "metric").agg(
-        F.max("docs").alias("docs"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("docs"), F.col("bin"))).alias("q1"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("docs") * 3, F.col("bin"))).alias("q3"),
-    )
-    reach = (F.col("q3") - F.col("q1")) * REACH
-    slack = F.create_map(*(x for m, s in SLACK.items() for x in (F.lit(m), F.lit(s))))[F.col("metric")]
+    of_metric = lambda k: F.create_map(*(x for m, f in FENCES.items() for x in (F.lit(m), F.lit(f[k]))))[F.col("metric")]
+    at = lambda share: F.min(F.when(F.col("upto") * 1000 >= F.col("docs") * share, F.col("bin")))
+    quantiles = ranked.groupBy(*keys, "metric").agg(F.max("docs").alias("docs"), at(1000 - of_metric(0)).alias("low"), at(F.lit(500)).alias("mid"), at(of_metric(0)).alias("high"))
     of = lambda m, c: F.max(F.when(F.col("metric") == m, c))
-    return quartiles.groupBy(*keys).agg(
+    return quantiles.groupBy(*keys).agg(
         F.max("docs").alias("docs"),
-        *(of(m, F.col("q3") + reach + slack).alias(f"high_{m}") for m in METRICS),
-        *(of(m, F.col("q1") - reach - slack).alias(f"low_{m}") for m in TWO_SIDED),
+        *(of(m, F.col("high") + (F.col("high") - F.col("mid")) * of_metric(1) + of_metric(2)).alias(f"high_{m}") for m in METRICS),
+        *(of(m, F.col("low") - (F.col("mid") - F.col("low")) * of_metric(1) - of_metric(2)).alias(f"low_{m}") for m in TWO_SIDED),
     )
 
 

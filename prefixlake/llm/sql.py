@@ -20,14 +20,15 @@ _BIN = "((v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7,
 
 def _fences(level: str, keys: str, using: str) -> str:
     of = lambda m, e: f"max(CASE WHEN metric = '{m}' THEN {e} END)"
-    slack = {"word_len": 1500, "symbols": 100, "dup_lines": 350, "repeats": 300}
-    highs = ", ".join(f"{of(m, f'q3 + 3 * (q3 - q1) + {s}')} AS high_{m}" for m, s in slack.items())
+    tails = {"word_len": (900, 3, 500), "symbols": (900, 3, 20), "dup_lines": (990, 1, 20), "repeats": (990, 1, 20)}
+    highs = ", ".join(f"{of(m, f'high + {k} * (high - mid) + {floor}')} AS high_{m}" for m, (_, k, floor) in tails.items())
+    tail = "CASE metric " + " ".join(f"WHEN '{m}' THEN {t}" for m, (t, *_) in tails.items()) + " END"
     group = f"GROUP BY {keys}" if keys else ""
     part = f"PARTITION BY {using}"
     return f"""{level}m AS (SELECT {keys + ', ' if keys else ''}metric, bin, sum(n) AS n FROM bins GROUP BY ALL),
 {level}r AS (SELECT *, sum(n) OVER ({part} ORDER BY bin) AS upto, sum(n) OVER ({part}) AS docs FROM {level}m),
-{level}q AS (SELECT {keys + ', ' if keys else ''}metric, max(docs) AS docs, min(bin) FILTER (WHERE upto * 4 >= docs) AS q1, min(bin) FILTER (WHERE upto * 4 >= docs * 3) AS q3 FROM {level}r GROUP BY ALL),
-{level} AS (SELECT {keys + ', ' if keys else ''}max(docs) AS docs, {highs}, {of('word_len', 'q1 - 3 * (q3 - q1) - 1500')} AS low_word_len FROM {level}q {group})"""
+{level}q AS (SELECT {keys + ', ' if keys else ''}metric, max(docs) AS docs, min(bin) FILTER (WHERE upto * 1000 >= docs * (1000 - {tail})) AS low, min(bin) FILTER (WHERE upto * 2 >= docs) AS mid, min(bin) FILTER (WHERE upto * 1000 >= docs * {tail}) AS high FROM {level}r GROUP BY ALL),
+{level} AS (SELECT {keys + ', ' if keys else ''}max(docs) AS docs, {highs}, {of('word_len', 'low - 3 * (mid - low) - 500')} AS low_word_len FROM {level}q {group})"""
 
 
 _HIGHS = ("high_word_len", "high_symbols", "high_dup_lines", "high_repeats", "low_word_len")

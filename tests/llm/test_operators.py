@@ -81,6 +81,28 @@ def test_quality_keeps_clean_and_drops_junk(spark, docs):
     assert quality_rules.quality_report(empty(spark)).count() == 0 == quality_rules.quality_filter(empty(spark)).count()
 
 
+def test_each_fence_moves_with_its_source(spark):
+    """Two sources that differ in every ratio have other fences, and each rejects a text that passes the base rules and the other source."""
+    def text(k, long, symbols, dup, rep):
+        w = [x + ("ational" if long else "") for x in prose(20_000 + k, 200).replace(".\n", " ").split()]
+        w += ["$$"] * (symbols if k % 3 else symbols // 2)
+        run = [f"run{k}{i}" for i in range(8)]
+        w += run * (2 if rep and k % 20 == 0 else 0)  # one text in 20 has a repeat
+        lines = [" ".join(w[i : i + 10]) for i in range(0, len(w), 10)]
+        return "\n".join(lines + lines[: 2 if dup and k % 20 == 1 else 0])
+
+    rows = [(k, text(k, s, 20 * s, s, s), "xx", f"s{s}", 0) for s in (0, 1) for k in range(1000 * s, 1000 * s + 300)]
+    fence = {r["source"]: r for r in quality_rules.thresholds(quality_rules.measured(spark.createDataFrame(rows, SCHEMA)).drop("text")).collect()}
+    for m in quality_rules.METRICS:
+        assert fence["s1"][f"high_{m}"] > fence["s0"][f"high_{m}"], (m, fence)
+    long = lambda t: t.replace(" ", "ational ")
+    odd = [prose(30_000, 200), "\n".join((x := prose(30_001, 200).split("\n")) + x[:2]), prose(30_002, 200) + " " + "again these eight words stand here once more " * 2, long(prose(30_003, 200))]
+    tail = [" $$" * 20, "", "", ""]
+    both = rows + [(9000 + 10 * s + k, (long(t) if s and k < 3 else t) + tail[k], "xx", f"s{s}", 0) for k, t in enumerate(odd) for s in (0, 1)]
+    kept = {r["doc_id"]: (r["kept"], r["base_failed"]) for r in quality_rules.quality_report(spark.createDataFrame(both, SCHEMA)).where("doc_id >= 9000").collect()}
+    assert not any(b for _, b in kept.values()) and [kept[9000 + k][0] for k in range(4)] == [False] * 4 and [kept[9010 + k][0] for k in range(4)] == [True] * 4, kept
+
+
 def test_sketches_merge(spark, docs):
     measured = quality_rules.measured(docs).drop("text")
     whole = quality_rules.sketch(measured)
