@@ -1,7 +1,7 @@
 """Mixing sources to target weights.
 
 Word counts are summed per source; a source's target over its size is its repetition rate; each document is emitted
-floor(rate) times, and once more with a probability equal to the rest, drawn from a hash of its id. All of it is
+floor(rate) times, and once more with a probability equal to the rest, drawn from a hash of its id and text. All of it is
 DataFrame functions.
 """
 
@@ -24,9 +24,10 @@ def size_of(text: str = "text") -> Column:
     return F.regexp_count(text_of(text), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def draw(doc_id: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) from 32 bits of a hash of the seed and the id; null ids share one."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+def draw(doc_id: Column, text: Column, seed: str = SEED) -> Column:
+    """A number in [0, 1) from 32 bits of a hash of the seed, the id and the text; only rows that are equal in both share one."""
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit(""))))
+    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -64,26 +65,26 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return ranked.select("source", "source_size", F.when(above, limit.cast("double")).otherwise(share).alias("target"))
 
 
-def copies(doc_id: Column, seed: str = SEED) -> Column:
-    """How often a document is emitted, from target and source_size beside it."""
+def copies(drawn: Column) -> Column:
+    """How often a document is emitted, from its draw, and target and source_size beside it."""
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    return (F.floor(rate) + F.when(draw(doc_id, seed) < rate - F.floor(rate), 1).otherwise(0)).cast("long")
+    return (F.floor(rate) + F.when(drawn < rate - F.floor(rate), 1).otherwise(0)).cast("long")
 
 
 def mixed_report(docs: DataFrame) -> DataFrame:
     """A row for each document: doc_id, size, source_size, target, taken (words that the mix takes, repeats counted).
 
-    Null and empty texts have size 0; a null source is a source; repeated rows with one id share one draw; sources of
-    size 0 have target 0. Other columns of ``docs`` aren't returned.
+    Null and empty texts have size 0; a null source is a source; rows that are equal in id and text share one draw, all
+    others have draws of their own, also those without an id; sources of size 0 have target 0. Other columns of ``docs`` aren't returned.
     """
-    rows = stored(docs.select("doc_id", "source", size_of().alias("size")))
+    rows = stored(docs.select("doc_id", "source", size_of().alias("size"), draw(F.col("doc_id"), F.col("text")).alias("drawn")))
     table = stored(targets(rows))
-    return rows.join(table, same(rows, table, "source"), "left").select("doc_id", "size", "source_size", "target", (F.col("size") * copies(F.col("doc_id"))).alias("taken"))
+    return rows.join(table, same(rows, table, "source"), "left").select("doc_id", "size", "source_size", "target", (F.col("size") * copies(F.col("drawn"))).alias("taken"))
 
 
 def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The documents as often as the mix takes them, with their columns; their names can't clash with ours."""
     table = stored(targets(docs.select("source", size_of().alias("size")))).select(F.col("source").alias("__s"), "source_size", "target")
-    rows = docs.select(F.col("source").alias("__source"), F.col("doc_id").alias("__id"), F.struct(*(docs[c] for c in docs.columns)).alias("__row"))
-    taken = rows.join(table, rows["__source"].eqNullSafe(table["__s"])).withColumn("__n", copies(F.col("__id"), seed)).where("__n > 0")
+    rows = docs.select(F.col("source").alias("__source"), draw(F.col("doc_id"), F.col("text"), seed).alias("__drawn"), F.struct(*(docs[c] for c in docs.columns)).alias("__row"))
+    taken = rows.join(table, rows["__source"].eqNullSafe(table["__s"])).withColumn("__n", copies(F.col("__drawn"))).where("__n > 0")
     return taken.select("__row", F.explode(F.expr("sequence(1L, __n)")).alias("__k")).select("__row.*")

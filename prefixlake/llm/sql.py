@@ -74,7 +74,7 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(coalesce(role, '') || chr
   (sum(CASE WHEN role = 'assistant' OR k = n THEN upto ELSE 0 END))::BIGINT AS formatted_chars
 FROM x GROUP BY conv_id"""
 
-OP10 = f"""WITH RECURSIVE d AS (SELECT doc_id, source, len({_WORDS.replace('text', "coalesce(text, '')")})::BIGINT AS size FROM documents),
+OP10 = f"""WITH RECURSIVE d AS (SELECT doc_id, source, md5(coalesce(text, '')) AS digest, len({_WORDS.replace('text', "coalesce(text, '')")})::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 k AS (SELECT *, [1, 2, 3][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::BIGINT AS w, 3 * source_size AS lim FROM s),
 tot AS (SELECT sum(source_size)::BIGINT AS t FROM s),
@@ -83,7 +83,7 @@ it AS (SELECT 0 AS i, 0::BIGINT AS capped, (SELECT sum(w) FROM k)::BIGINT AS wsu
 last AS (SELECT * FROM it ORDER BY i DESC LIMIT 1),
 g AS (SELECT source, source_size, CASE WHEN t = 0 OR wsum = 0 OR w * (t - capped) > lim * wsum THEN lim::DOUBLE ELSE (w * (t - capped))::DOUBLE / wsum::DOUBLE END AS target FROM k, tot, last),
 r AS (SELECT d.doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-  CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / 4294967296.0 AS draw FROM d JOIN g ON g.source IS NOT DISTINCT FROM d.source)
+  CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(d.doc_id AS VARCHAR), '') || ':' || digest), 1, 8) AS BIGINT) / 4294967296.0 AS draw FROM d JOIN g ON g.source IS NOT DISTINCT FROM d.source)
 SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM r"""
 
 SQL = {"op1_line_dedup": OP1, "op4_quality_rules": OP4, "op7_jaccard_join": OP7, "op9_chat_format": OP9, "op10_mix_sources": OP10}
