@@ -243,6 +243,8 @@ def test_mixing(spark, docs, rows):
     many = spark.range(4000).selectExpr("id AS doc_id", "'one two three' AS text", "NULL AS lang", "concat('s', id % 4) AS source", "0L AS n_chars")
     taken = mixing.mixed_report(many).join(many.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
     assert all(abs(r["taken"] - r["target"]) < 0.1 * r["target"] for r in taken)
+    bare = mixing.mixed_report(many.withColumns({"doc_id": F.lit(None).cast("long"), "text": F.concat_ws(" ", "text", "doc_id")})).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size")).first()
+    assert abs(bare["taken"] - bare["size"]) < 0.1 * bare["size"]  # rows without an id have draws of their own
     mixed = mixing.mix(clashing(docs))
     assert mixed.columns == clashing(docs).columns and mixed.exceptAll(mixing.mix(clashing(docs))).count() == 0
     assert sum(size(r["text"]) for r in mixed.collect()) == sum(r["taken"] for r in got)
@@ -306,21 +308,45 @@ def test_chat_format(spark):
     assert chat_format.examples(talk.limit(0)).count() == 0
 
 
-def test_sentencepiece_equals_the_library(spark, docs, rows):
+def test_sentencepiece_equals_the_library(spark, docs, rows, monkeypatch):
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
     extra = [(50, "mark ▁ in ▁▁ text", None, None, 0), (51, "  lead and trail  ", None, None, 0), (52, "tab\tnew\n\nline \x00 <s> </s> <0x41>", None, None, 0)]
+    nospace = prose(60, 900).replace(" ", "").replace("\n", "")
+    extra += [(53, nospace, None, None, 0), (54, nospace.replace("a", "▁▁a"), None, None, 0), (55, "漢字かなTokyo=-" * 400, None, None, 0), (56, " " * 3000 + "end", None, None, 0), (57, ("aaaa" * 700) + "\U0001f600" * 300, None, None, 0)]
     both = docs.unionByName(spark.createDataFrame(extra, SCHEMA))
+    monkeypatch.setattr(sentencepiece_codec, "BLOCK", 3)
     got = sentencepiece_codec.encoded(clashing(both), giant=1000, chunk=256)
     assert got.columns == [*[c for c in clashing(both).columns if c != "ids"], "ids", "n_tokens"]
     found = sorted((str(r["doc_id"]), r["text"] or "", list(r["ids"]), r["n_tokens"]) for r in got.collect())
     assert found == sorted((str(i), t or "", sp.encode(t or ""), len(sp.encode(t or ""))) for i, t, *_ in [*rows, *extra])
     same = sentencepiece_codec.codec_report(both).where("text_sha256 <> decoded_sha256").collect()
-    assert [r["doc_id"] for r in same] == [50]
+    assert sorted(r["doc_id"] for r in same) == [50, 54]
     assert sentencepiece_codec.codec_report(empty(spark)).count() == 0
 
 
+def test_the_scan_cuts_anywhere():
+    """Chunks with and without spaces: the product of all matrices is one entry, and the traced ids are the library's."""
+    codec = sentencepiece_codec.codec_of(sentencepiece_codec.MODEL)
+    rng = np.random.default_rng(8)
+    texts = [prose(61, 150), prose(62, 150).replace(" ", ""), "".join(rng.choice(list("ab  eё漢\n.-=*09 tion"), 900)), "a" * 700, "0123456789" * 70]
+    for text in texts:
+        for size in (64, 101, 250):
+            parts = [text[k : k + size] for k in range(0, len(text), size)]
+            near = codec.longest
+            chunks = [sentencepiece_codec.Chunk(codec, parts[k - 1][-near:] if k else "", p, parts[k + 1][:near] if k + 1 < len(parts) else "", k == 0) for k, p in enumerate(parts)]
+            each = [sentencepiece_codec.matrix([x for arc in c.arcs() for x in arc]) for c in chunks]
+            left, right = each[0], each[-1]
+            for m in each[1:]:
+                left = sentencepiece_codec.product(left, m)
+            for m in each[-2::-1]:
+                right = sentencepiece_codec.product(m, right)
+            assert left == right == {0: {0: 0.0}}
+            ids = [i for c, (a, b) in zip(chunks, sentencepiece_codec.trace(each, 0, 0), strict=True) for i in c.traced(a, b, c.middle())]
+            assert ids == codec.sp.encode(text)
+
+
 def test_language_identification(spark):
     rows = []
     for k in range(400):
@@ -475,12 +501,12 @@ def test_pipeline_against_a_plain_version(spark, tmp_path, rows):
     left = [r for r in left if group[r[0]] == r[0]]
     rate = {r["doc_id"]: r["target"] / r["source_size"] if r["source_size"] else 0 for r in mixing.mixed_report(spark.createDataFrame(left, SCHEMA)).collect()}
 
-    def copies(i):  # also of documents that line dedup emptied
-        draw = int(hashlib.md5(f"mix-1:{i}".encode()).hexdigest()[:8], 16) / 2**32
+    def copies(i, t):  # also of documents that line dedup emptied
+        draw = int(hashlib.md5(f"mix-1:{i}:{hashlib.md5(t.encode()).hexdigest()}".encode()).hexdigest()[:8], 16) / 2**32
         return int(rate[i]) + (draw < rate[i] - int(rate[i]))
 
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
-    want = sorted((i, t, tuple(sp.encode(t))) for i, t, *_ in left for _ in range(copies(i)))
+    want = sorted((i, t, tuple(sp.encode(t))) for i, t, *_ in left for _ in range(copies(i, t)))
     assert got == want and any(not t for _, t, _ in got) and len(corpus_pipeline.STAGES) == 5
