@@ -70,3 +70,19 @@ def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
     for name in names:
         out &= left[name].eqNullSafe(right[name])
     return out
+
+
+def joined_to(left: DataFrame, right: DataFrame, key: str, how: str = "left", share: int = 1000) -> DataFrame:
+    """``left`` (stored; any number of rows of a key) joined with ``right`` (stored; a row for each key) on ``key``.
+
+    Keys with more than one in ``share`` of the rows of ``left`` are at most ``share``: they meet their rows of ``right``
+    by a broadcast, so no task gets a hot key's rows; all other keys meet by a join that Catalyst plans.
+    """
+    counts = left.groupBy(key).agg(F.count("*").alias("__n"))
+    total = left.count()
+    hot = stored(counts.where(F.col("__n") * share > total).select(key))
+    if not hot.limit(1).count():
+        return left.join(right, key, how)
+    few = F.broadcast(hot)  # at most ``share`` rows
+    dealt = left.join(few, key, "left_semi").join(F.broadcast(right.join(few, key, "left_semi")), key, how)
+    return dealt.unionByName(left.join(few, key, "left_anti").join(right.join(few, key, "left_anti"), key, how))

@@ -2,8 +2,8 @@
 
 A text's set is its distinct word shingles (64-bit hashes). Two sets link at a Jaccard similarity of PERCENT or more.
 
-1. Sets are named by a digest, so exact copies are one set from here on. Count-min tables of fixed size over all
-   shingles tell which are common; each set is ordered by (commonness, hash), and its first n - ceil(PERCENT n) + 1
+1. Sets are named by a digest, so exact copies are one set from here on. Count-min tables over all shingles (of fixed
+   size, one a task, summed in PARTS parts) tell which are common; each set is ordered by (commonness, hash), and its first n - ceil(PERCENT n) + 1
    shingles enter the inverted index with their positions. Whatever the order, two sets that link share at least
    ``_shared`` shingles of these prefixes, a bound that follows from their sizes.
 2. Short index lists give their pairs, less those that size and position rule out; what pairs share is counted up over
@@ -12,8 +12,8 @@ A text's set is its distinct word shingles (64-bit hashes). Two sets link at a J
    (answer-level skipping: the answers of highly similar sets are derived from one another).
 3. Pairs that share enough are decided by the sets themselves.
 4. After the components of these links, long lists are read again: first, their sets try the HEADS of each list that
-   stand in most long lists (what all near copies share most with); then lists are read in blocks by size
-   and position, pairs of blocks that the bounds rule out and sets of one component are skipped, and what the rest shares
+   stand in most long lists (what all near copies share most with); then lists of several components are dealt in pairs
+   of parts (no task reads a whole long list) and read in blocks by size and position, pairs of blocks that the bounds rule out and sets of one component are skipped, and what the rest shares
    is counted up as in step 2.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefixlake.llm import wordhash
-from prefixlake.llm.common import stored
+from prefixlake.llm.common import joined_to, stored
 from prefixlake.llm.components import components
 
 SHINGLE = 5
@@ -41,6 +41,8 @@ LONG = 24
 BLOCK = 64
 #: Sets in the middle of long lists that the others try first.
 HEADS = 16
+#: Entries of a list beyond which it is dealt to several tasks, in parts and pairs of parts of this size.
+PART, WHOLE = 2048, 11
 #: What a pair counts that is decided whatever it shares.
 SURE = 1 << 30
 _U = np.uint64
@@ -138,8 +140,11 @@ def _entries(shingle: int, classes):
                 seen.add(name)
                 p = _prefix(n)
                 kind = table[(s & _U(COUNTERS - 1)).astype(np.int64)]
-                first = s[np.argsort(kind, kind="stable")[:p]] if kind.any() else s[:p]
-                out.append((first, np.full(p, name, np.int64), (np.int64(n) << 32) + np.arange(p)))
+                order = np.argsort(kind, kind="stable")[:p] if kind.any() else slice(p)
+                # a list that is long by the counts is dealt in 2 ** (class - 11) parts by set; -1: in one
+                most = np.left_shift(1, np.maximum(kind[order].astype(np.int64) - WHOLE, 0))
+                part = np.where(most > 1, (name & 0x7FFFFFFF) % most, -1).astype(np.int32)
+                out.append((s[order], np.full(p, name, np.int64), (np.int64(n) << 32) + np.arange(p), part))
                 held += p
                 if held > 1 << 18:
                     yield _batch(out)
@@ -151,8 +156,8 @@ def _entries(shingle: int, classes):
 
 
 def _batch(out) -> pa.RecordBatch:
-    token, node, at = (np.concatenate(x) for x in zip(*out, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(node), pa.array(at)], ["token", "node", "at"])
+    token, node, at, part = (np.concatenate(x) for x in zip(*out, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(node), pa.array(at), pa.array(part)], ["token", "node", "at", "part"])
 
 
 def _possible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -182,18 +187,20 @@ def _counted(pairs: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of the index lists of one partition: pairs, and the entries (token, a, at) of long lists."""
-    parts = [_columns(x, "token", "node", "at") for x in batches]
+    parts = [_columns(x, "token", "node", "at", "part") for x in batches]
     if not parts:
         return
-    token, node, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+    token, node, at, part = (np.concatenate(x) for x in zip(*parts, strict=True))
     del parts
-    order = np.lexsort((node, token))
-    token, node, at = token[order], node[order], at[order]
+    order = np.lexsort((node, part, token))
+    token, node, at, part = token[order], node[order], at[order], part[order]
     new = np.ones(len(token), bool)
     new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])  # copies of a set that several tasks met
-    token, node, at = token[new], node[new], at[new]
-    begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    token, node, at, part = token[new], node[new], at[new], part[new]
+    begin = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (part[1:] != part[:-1])]))
     length = np.diff(np.append(begin, len(token)))
+    length = np.where(part[begin] >= 0, np.maximum(length, LONG + 1), length)  # parts of a list are read as long lists are
+    rows = np.repeat(length > LONG, np.diff(np.append(begin, len(token))))
     found: list[tuple[np.ndarray, ...]] = []
     for n in np.unique(length[(length > 1) & (length <= LONG)]):
         i, j = np.triu_indices(n, 1)
@@ -203,52 +210,52 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ok = _possible(at[x], at[y])
             x, y = x[ok], y[ok]
             found.append((node[x], node[y], at[x], at[y], np.ones(len(x), np.int64)))
-    rows = np.repeat(length > LONG, length)
-    head = np.repeat(begin, length)[rows]
+    head = np.repeat(begin, np.diff(np.append(begin, len(token))))[rows]
     entry = np.flatnonzero(rows)
     ok = (head != entry) & _possible(at[head], at[entry])
     x, y = head[ok], entry[ok]
     found.append((node[x], node[y], at[x], at[y], np.full(len(x), SURE, np.int64)))
     none = lambda n: [pa.nulls(n, pa.int64())] * 2
     for batch in _counted(found):
-        yield pa.RecordBatch.from_arrays([*batch.columns, *none(batch.num_rows)], [*PAIR, "token", "at"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, *none(batch.num_rows), pa.nulls(batch.num_rows, pa.int32())], [*PAIR, "token", "at", "part"])
     for k in range(0, len(entry), 1 << 18):
         e = entry[k : k + (1 << 18)]
-        yield pa.RecordBatch.from_arrays([pa.array(node[e]), *none(len(e)), *none(len(e)), pa.array(token[e]), pa.array(at[e])], [*PAIR, "token", "at"])
+        yield pa.RecordBatch.from_arrays([pa.array(node[e]), *none(len(e)), *none(len(e)), pa.array(token[e]), pa.array(at[e]), pa.array(part[e])], [*PAIR, "token", "at", "part"])
 
 
 def _centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of the entries of long lists with the HEADS entries of the list that stand in most long lists, if of another component."""
-    for token, node, at, comp, many in _sorted(batches, "many"):
-        begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        order = np.lexsort((node, -many, token))
-        length = np.diff(np.append(begin, len(token)))
+    """Pairs of the entries of long lists (or of their parts) with the HEADS entries there that stand in most long lists, if of another component."""
+    for (token, node, at, comp, many, part), begin in _sorted(batches, "part"):
+        order = np.lexsort((node, -many, part, token))
+        length = np.diff(begin)
         found = []
         for k in range(HEADS):
-            head = order[np.minimum(np.repeat(begin, length) + k, np.repeat(begin + length - 1, length))]
+            head = order[np.minimum(np.repeat(begin[:-1] + k, length), np.repeat(begin[1:] - 1, length))]
             x = np.flatnonzero(comp != comp[head])
             x = x[_possible(at[x], at[head[x]])]
             found.append((node[x], node[head[x]], at[x], at[head[x]], np.full(len(x), SURE, np.int64)))
         yield from _counted(found)
 
 
-def _sorted(batches: Iterator[pa.RecordBatch], *more: str) -> Iterator[tuple[np.ndarray, ...]]:
-    """The entries of one partition, by shingle, size and position; nothing if there are none."""
-    parts = [_columns(x, "token", "a", "at", "component", *more) for x in batches]
+def _sorted(batches: Iterator[pa.RecordBatch], *by: str) -> Iterator[tuple[tuple[np.ndarray, ...], np.ndarray]]:
+    """The entries of one partition, by shingle and ``by``, then size and position, and where each group begins (one more at the end); nothing if there are none."""
+    parts = [_columns(x, "token", "a", "at", "component", "many", *by, *(["side"] if len(by) > 1 else [])) for x in batches]
     if parts:
         columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
-        order = np.lexsort((columns[1], columns[2], columns[0]))
-        yield tuple(x[order] for x in columns)
+        keys = [columns[0], *columns[5 : 5 + len(by)]]
+        order = np.lexsort((columns[1], columns[2], *keys[::-1]))
+        keys = [k[order] for k in keys]
+        new = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+        yield tuple(x[order] for x in columns), np.append(np.flatnonzero(np.concatenate([[True], new])), len(order))
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in the long lists of one partition; blocks by size and position are skipped by their bounds."""
-    for token, node, at, comp, many in _sorted(batches, "many"):
-        yield from _blocks(token, node, at, comp, many)
+    """Pairs of different components in long lists, or in a pair of parts of one (then of both sides only); blocks by size and position are skipped by their bounds."""
+    for (_, node, at, comp, many, low, high, side), begin in _sorted(batches, "low", "high"):
+        yield from _blocks(node, at, comp, many, np.where(low == high, -1, side), begin)
 
 
-def _blocks(token: np.ndarray, node: np.ndarray, at: np.ndarray, comp: np.ndarray, many: np.ndarray) -> Iterator[pa.RecordBatch]:
-    begin = np.append(np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])), len(token))
+def _blocks(node: np.ndarray, at: np.ndarray, comp: np.ndarray, many: np.ndarray, side: np.ndarray, begin: np.ndarray) -> Iterator[pa.RecordBatch]:
     found, held = [], 0
     for s, e in zip(begin[:-1], begin[1:], strict=True):
         if (comp[s:e] == comp[s]).all():
@@ -260,7 +267,7 @@ def _blocks(token: np.ndarray, node: np.ndarray, at: np.ndarray, comp: np.ndarra
                 if int(at[cuts[i + 1] - 1] >> 32) * 100 < int(at[cuts[j]] >> 32) * PERCENT:
                     break
                 x, y = (g.ravel() for g in np.meshgrid(np.arange(cuts[i], cuts[i + 1]), np.arange(cuts[j], cuts[j + 1]), indexing="ij"))
-                ok = (x < y) & (comp[x] != comp[y])
+                ok = (x < y) & (comp[x] != comp[y]) & ((side[x] < 0) | (side[x] != side[y]))
                 x, y = x[ok], y[ok]
                 # what two sets share in long lists is bounded by their entries there
                 ok = _possible(at[x], at[y]) & (np.minimum(many[x], many[y]) >= _shared(at[x] >> 32, at[y] >> 32))
@@ -274,6 +281,15 @@ def _blocks(token: np.ndarray, node: np.ndarray, at: np.ndarray, comp: np.ndarra
         yield from _counted(found)
 
 
+def _dealt(lists: DataFrame) -> DataFrame:
+    """The entries of lists that hold several components, in cells (token, low, high): a list of n entries has ceil(n / PART) parts by set, and each pair of its parts is a cell, so that no task reads a long list alone."""
+    whole = lists.groupBy("token").agg(F.count("*").alias("n"), F.min("component").alias("first"), F.max("component").alias("last")).where("first <> last")
+    parts = stored(whole.select("token", F.ceil(F.col("n") / PART).cast("int").alias("parts")))
+    met = joined_to(lists, parts, "token", how="inner").withColumn("side", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
+    cells = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return cells.select("token", "a", "at", "component", "many", "side", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"))
+
+
 def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -306,49 +322,50 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
 
 
-def _decided(pairs: DataFrame, docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
-    """The pairs (a, b) that link. Only the sets of their nodes are made again, each from one document that has it."""
+def _decided(pairs: DataFrame, docs: DataFrame, named: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (a, b) that link. Only the sets of their nodes are made again, each from the one document that ``named`` (node, doc_id, a row for each node) has for it."""
     pairs = stored(pairs.select("a", "b"))
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    chosen = stored(members.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
+    chosen = stored(named.join(nodes, "node", "left_semi").select("node", "doc_id"))
     texts = docs.join(chosen.hint("merge"), "doc_id").select("node", "text").unionByName(_unnamed(docs, chosen, shingle))
     sets = stored(texts.mapInArrow(_sets(shingle), "node long, shingles binary"))
     side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"shingles_{c}"))
     return stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_linked, "a long, b long"))
 
 
-def linked_sets(docs: DataFrame, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """Members (doc_id, n, node; a row for each document) and the components (node, component) of the sets that link with another."""
+def linked_sets(docs: DataFrame, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members (doc_id, n, node; a row for each document), sets (node, doc_id, n, copies; the least id and number of documents), and the components (node, component) of the sets that link with another."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     first = stored(docs.mapInArrow(_members(shingle), "doc_id long, n long, node long, part int, counts binary"))
     members = first.where("part IS NULL").select("doc_id", "n", "node")
+    named = stored(members.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count("*").alias("copies")))
     classes = spark.sparkContext.broadcast(commonness(first))
-    index = docs.select("text").mapInArrow(_entries(shingle, classes), "token long, node long, at long")
+    index = docs.select("text").mapInArrow(_entries(shingle, classes), "token long, node long, at long, part int")
     pair = "a long, b long, na long, nb long, shared long"
-    lists = stored(index.repartition("token").mapInArrow(_lists, f"{pair}, token long, at long"))
+    lists = stored(index.repartition("token", "part").mapInArrow(_lists, f"{pair}, token long, at long, part int"))
     summed = lambda df: df.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("shared").alias("shared"))
     prefix = lambda n: F.floor(F.col(n) - F.ceil(F.col(n) * PERCENT / 100) + 1)
     enough = F.col("shared") >= F.least(prefix("na") - F.col("na"), prefix("nb") - F.col("nb")) + F.ceil((F.col("na") + F.col("nb")) * PERCENT / (100 + PERCENT))
     pairs = stored(summed(lists.where("token IS NULL")))
-    entries = lists.where("token IS NOT NULL").select("token", "a", "at")
-    links = _decided(pairs.where(enough), docs, members, shingle)
+    entries = lists.where("token IS NOT NULL").select("token", "a", "at", "part")
+    links = _decided(pairs.where(enough), docs, named, shingle)
     found = stored(components(links))
     if entries.limit(1).count():
-        placed = lambda: entries.join(found, entries["a"] == found["node"], "left").select("token", "a", "at", F.coalesce("component", "a").alias("component"))
         many = stored(entries.groupBy("a").agg(F.count("*").alias("many")))
-        near = _decided(summed(placed().join(many, "a").repartition("token").mapInArrow(_centres, pair)), docs, members, shingle)
+        placed = lambda: entries.join(many, "a").join(found, F.col("a") == found["node"], "left").select("token", "a", "at", "part", "many", F.coalesce("component", "a").alias("component"))
+        near = _decided(summed(placed().repartition("token", "part").mapInArrow(_centres, pair)), docs, named, shingle)
         if near.limit(1).count():
             links = links.unionByName(near)
             found = stored(components(links))
         # pairs that share nothing in short lists must share enough in long ones; of the others, what they can still share there is bounded
-        far = summed(placed().join(many, "a").repartition("token").mapInArrow(_across, pair)).where(enough)
+        far = summed(_dealt(stored(placed())).repartition("token", "low", "high").mapInArrow(_across, pair)).where(enough)
         both = pairs.where(~enough).join(many, "a").join(many.select(F.col("a").alias("b"), F.col("many").alias("many_b")), "b")
         more = far.unionByName(both.withColumn("shared", F.col("shared") + F.least("many", "many_b")).where(enough).select(far.columns))
         more = stored(more.join(found.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(found.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left").where("ca IS NULL OR cb IS NULL OR ca <> cb").select("a", "b").distinct())
         if more.limit(1).count():
-            found = stored(components(links.unionByName(_decided(more, docs, members, shingle))))
-    return members, found
+            found = stored(components(links.unionByName(_decided(more, docs, named, shingle))))
+    return members, named, found
 
 
 def _unnamed(docs: DataFrame, chosen: DataFrame, shingle: int) -> DataFrame:
@@ -375,12 +392,12 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     without words, and nulls, have an empty set and are alone: their component is their own id. Repeated rows have equal
     sets and one component. Columns besides doc_id and text aren't read.
     """
-    members, found = linked_sets(docs, shingle)
-    joined = members.join(found, "node", "left").select("doc_id", "n", "node", F.coalesce("component", "node").alias("c"))
-    joined = stored(joined)
-    least = joined.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("many"))
-    several = stored(least.where("many > 1").select("c", "component_id"))
-    return joined.join(several, (joined["c"] == several["c"]) & (joined["n"] > 0), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    members, named, found = linked_sets(docs, shingle)
+    sets = stored(named.join(found, "node", "left").select("node", "doc_id", "n", "copies", F.coalesce("component", "node").alias("c")))
+    least = sets.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("component_id"), F.sum("copies").alias("many"))
+    several = joined_to(sets.where("n > 0").select("node", "c"), stored(least.where("many > 1").select("c", "component_id")), "c", how="inner")
+    ids = joined_to(members, stored(several.select("node", "component_id")), "node")
+    return ids.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:

@@ -173,8 +173,11 @@ def test_jaccard_join(spark, docs, rows):
     assert jaccard_join.grouped(empty(spark)).count() == 0
 
 
-def test_jaccard_join_of_a_large_group(spark):
-    """Near copies of one text, copies of copies, and a passage that many unlike texts share: long index lists."""
+@pytest.mark.parametrize(("part", "whole"), [(2048, 11), (8, 2)])
+def test_jaccard_join_of_a_large_group(spark, monkeypatch, part, whole):
+    """Near copies of one text, copies of copies, and a passage that many unlike texts share: long index lists, also dealt in parts."""
+    monkeypatch.setattr(jaccard_join, "PART", part)
+    monkeypatch.setattr(jaccard_join, "WHOLE", whole)
     rng = np.random.default_rng(4)
     base = prose(7, 150).split()
     passage = prose(8, 60)
@@ -185,6 +188,8 @@ def test_jaccard_join_of_a_large_group(spark):
             w[at] = f"e{rng.integers(0, 50)}"
         rows.append((k, " ".join(w), None, None, 0))
     rows += [(200 + k, prose(300 + k, 60) + " " + passage + " " + prose(600 + k, 60), None, None, 0) for k in range(60)]
+    rows += [(400 + k, prose(300 + k, 9) + " " + passage + " " + prose(900 + k // 2, 60)[: 40 + k], None, None, 0) for k in range(60)]  # mostly the passage, some alike
+    rows += [(500 + k, rows[3][1], None, None, 0) for k in range(80)]  # a hot text
     df = spark.createDataFrame(rows, SCHEMA)
     assert sorted((tuple(r) for r in jaccard_join.grouped(df).collect()), key=str) == groups_plain(rows)
 
