@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from prefixlake.llm import chat_format, fingerprints, jaccard_join, lang_id, license_scan, line_dedup, mixing, quality_rules, sentencepiece_codec, toxicity, wordhash
@@ -283,11 +284,82 @@ def test_fingerprints_keep_pieces_after_an_early_edit(spark):
     assert min(r["x"] for r in near[:8]) > 0.8 and np.median([r["x"] for r in near[8:]]) > 0.5, near
 
 
+def plain_tree(text):
+    """root, sections (digest and paragraph numbers), paragraphs (digest, pieces with hash and length), in plain loops."""
+    paragraphs, sections, part = [], [], []
+    lines = text.split("\n")
+    for k, line in enumerate(lines):
+        pieces, run = [], ""
+        for w in re.findall("[^ ]+ ?| ", line):
+            run += w
+            if xxhash.xxh64_intdigest(w.encode(), seed=42) % 4 == 0:
+                pieces.append(run)
+                run = ""
+        pieces += [run] if run else []
+        digest = hashlib.sha256(line.encode()).hexdigest()
+        paragraphs.append((digest, [(xxhash.xxh64_intdigest(p.encode(), seed=42) & 0xFFFFFF, len(p)) for p in pieces]))
+        part.append(k)
+        if int(digest[-1], 16) % 8 == 0 or k == len(lines) - 1:
+            sections.append((hashlib.sha256(",".join(paragraphs[n][0] for n in part).encode()).hexdigest(), part))
+            part = []
+    return hashlib.sha256(".".join(d for d, _ in sections).encode()).hexdigest(), sections, paragraphs
+
+
+def plain_written(tree):
+    root, sections, paragraphs = tree
+    one = lambda n: paragraphs[n][0][:8] + "(" + "".join(f"{h:06x}" for h, _ in paragraphs[n][1]) + ")"
+    return root + ":" + "|".join(d[:8] + "[" + ",".join(map(one, part)) + "]" for d, part in sections)
+
+
+def plain_likeness(a, b):
+    x, y = ({h for _, ps in t[2] for h, _ in ps} for t in (a, b))
+    return 1.0 if a[0] == b[0] else 2 * len(x & y) / (len(x) + len(y)) if x or y else 0.0
+
+
+def plain_changed(a, b):
+    if a[0] == b[0]:
+        return None, None
+    inside = lambda t, o: [n for d, part in t[1] if d[:8] not in {e[:8] for e, _ in o[1]} for n in part]
+    theirs = inside(b, a)
+    hit = [n for n in inside(a, b) if a[2][n][0][:8] not in {b[2][m][0][:8] for m in theirs}]
+    known = {h for m in theirs for h, _ in b[2][m][1]}
+    starts = np.cumsum([0] + [sum(c for _, c in ps) + 1 for _, ps in a[2]])
+    spans = []
+    for n in hit:
+        at = np.cumsum([0] + [c for _, c in a[2][n][1]])
+        new = [k for k, (h, _) in enumerate(a[2][n][1]) if h not in known]
+        spans.append((starts[n] + (at[new[0]] if new else 0), starts[n] + (at[new[-1] + 1] if new else at[-1])))
+    return (int(spans[0][0]), int(spans[-1][1])) if spans else (None, None)
+
+
+def test_fingerprints_are_the_plain_tree(spark, docs):
+    """The whole report against plain loops: order of documents, edited texts, trees, likeness, located spans. Ids that are null or shared by many as well."""
+    rng = np.random.default_rng(2)
+    paragraphs = [f"paragraph {k} of a store, " + " ".join(rng.choice(["ab", "cd", "ef", "gh", "ij", "kl"], 9)) for k in range(60)]
+    rows = [(k, "\n".join(rng.choice(paragraphs, int(rng.integers(1, 30)))), None, None, 0) for k in range(80)]
+    rows += [(40, f"shared id {k}", None, None, 0) for k in range(60)] + [(None, f"no id {k} " * 5, None, None, 0) for k in range(30)] + [(90, "é漢 \n\n  x ", None, None, 0), (91, "", None, None, 0), (92, None, None, None, 0), (93, prose(5, 20_000), None, None, 0)]
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS digest", "2 AS next", "3 AS part", "4 AS p")
+    signed = lambda t: (x := xxhash.xxh64_intdigest(b"\x01\x00\x00\x00", seed=xxhash.xxh64_intdigest(t.encode(), seed=42))) - (1 << 64 if x >> 63 else 0)  # noqa: E731  of the text, then of 1
+    order = sorted(((i, t or "") for i, t, *_ in rows), key=lambda r: (r[0] is None, -(r[0] or 0), signed(r[1])))
+    want = []
+    for k, (i, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        half = len(t) // 2
+        e = t[: len(t) - half] + after[:half]
+        a, b, c = plain_tree(t), plain_tree(e), plain_tree(after)
+        want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), plain_written(a), plain_written(b), round(plain_likeness(a, b), 9), round(plain_likeness(a, c), 9), *plain_changed(a, b)))
+    got = [tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in fingerprints.edit_report(df).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_fingerprints_locate_an_edit(spark):
     text = "\n".join(f"paragraph {k} holds words of its own number {k}" for k in range(30))
     pair = spark.createDataFrame([(text, text.replace("paragraph 12 holds", "paragraph 12 held"))], "a string, b string")
-    at = pair.select(fingerprints.tree(F.col("a")).alias("a"), fingerprints.tree(F.col("b")).alias("b")).select(fingerprints.differing(F.col("a"), F.col("b")).alias("at")).first()["at"]
-    assert at == [12]
+    trees = pair.select("a", fingerprints.tree(F.col("a")).alias("x"), fingerprints.tree(F.col("b")).alias("y"))
+    found = trees.select(fingerprints.differing(F.col("x"), F.col("y")).alias("at"), fingerprints.span_in_text(F.col("x"), fingerprints.differing(F.col("x"), F.col("y"))).alias("span")).first()
+    assert [r["paragraph"] for r in found["at"]] == [12]
+    at = text.index("paragraph 12 holds")
+    assert at <= found["span"]["from"] <= text.index("holds", at) < found["span"]["to"] <= text.index("\n", at)
 
 
 TALK = [
@@ -348,7 +420,7 @@ def test_the_scan_cuts_anywhere():
             for m in each[-2::-1]:
                 right = sentencepiece_codec.product(m, right)
             assert left == right == {0: {0: 0.0}}
-            ids = [i for c, (a, b) in zip(chunks, sentencepiece_codec.trace(each, 0, 0), strict=True) for i in c.traced(a, b, c.middle())]
+            ids = [i for c, (a, b) in zip(chunks, sentencepiece_codec.trace(each, 0, 0), strict=True) for part in (lambda ends, c=c: (ends[0], c.middle(), ends[1]))(c.traced(a, b)) for i in part]
             assert ids == codec.sp.encode(text)
 
 
