@@ -552,15 +552,72 @@ def test_neighbours_are_exact():
         assert best.tolist() == want and np.allclose(cosine, cos[want])
 
 
-def test_license_scan(spark, docs):
-    lines = {100: ("Released under the MIT License.", "mit"), 101: ("Licensed under the Apache License, Version 2.0.", "apache"), 102: ("Licensed under CC BY-NC 4.0.", "cc-by-nc"), 103: ("This work is licensed under the GNU General Public License, version 3.", "gpl"), 104: ("His driving license was lost.", "unknown"), 105: ("Er kam mit dem Zug.", None)}
-    more = spark.createDataFrame([(k, prose(k, 50) + "\n" + t + "\n" + prose(k + 1, 20), None, None, 0) for k, (t, _) in lines.items()], SCHEMA)
-    out = license_scan.scan(docs.unionByName(more).unionByName(more.where("doc_id = 100"))).collect()
-    got = collections.defaultdict(set)
-    for r in out:
-        got[r["doc_id"]].add(r["license"])
-    assert all(got[k] == {want} for k, (_, want) in lines.items()) and got[7] == {None} == got[8]
-    assert len(out) == docs.count() + 7 and license_scan.scan(empty(spark)).count() == 0
+#: Wrapped notices, in other words and places than training has them.
+WRAPPED = {
+    "gpl": "    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as published by\n    the Free Software Foundation, either version 3 of the License, or\n    (at your option) any later version.",
+    "lgpl": " * This library is free software; you can redistribute it and/or\n * modify it under the terms of the GNU Lesser General Public\n * License as published by the Free Software Foundation; either\n * version 2.1 of the License, or (at your option) any later version.",
+    "agpl": "You should have received a copy of the GNU Affero General\nPublic License along with this\nprogram.",
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:",
+    "bsd": "// Redistribution and use in source and binary forms, with or without\n// modification, are permitted provided that the following conditions are\n// met:\n// Redistributions of source code must retain the above copyright\n// notice, this list of conditions and the following disclaimer.",
+    "apache": "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n    http://www.apache.org/licenses/LICENSE-2.0",
+    "mpl": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+    "cc-by-sa": "This work is licensed under the Creative Commons\nAttribution-ShareAlike 4.0 International License.",
+}
+NOTICES = [
+    ("Released under the MIT License.", "mit"), ("Licensed under the Apache License, Version 2.0.", "apache"), ("Licensed under CC BY-NC 4.0.", "cc-by-nc"), ("This work is licensed under the GNU General Public License, version 3.", "gpl"), ("Released under MIT", "mit"),
+    ("Veröffentlicht unter der MIT-Lizenz", "mit"), ("Licensed under CC BY-SA 4.0", "cc-by-sa"), ("Licensed under CC BY-ND 4.0", "cc-by-nd"), ("Distributed under the Boost Software License, Version 1.0", "boost"), ("SPDX-License-Identifier: LGPL-2.1-or-later", "lgpl"), ("SPDX-License-Identifier: BSD-3-Clause", "bsd"),
+    ("This code is not licensed under the MIT license.", "unknown"), ("Licensed under the Elastic License 2.0", "unknown"), ("The licensor grants you a license to use the software for one year.", "unknown"), ("Er kam mit dem Zug.", None),
+]
+
+
+def plain_scan(rows, model):
+    """(n_passages, families, license, probability) of each row by loops over words."""
+    out = []
+    features, firsts = {g: i for i, g in enumerate(model.grams)}, {}
+    for t, (_, pairs, _) in enumerate(model.templates):
+        for g in pairs:
+            firsts.setdefault(g, []).append(t)
+    for i, text, *_ in rows:
+        found = []
+        for body in re.split("\n[ \t\r\f\v]*\n", text or ""):
+            w = license_scan._tokens(body)
+            groups, last = [], None
+            for at in range(len(w)):
+                new = [g for n in (1, 2, 3) if len(g := tuple(w[at : at + n])) == n and g in features]
+                pair = tuple(w[at : at + 2])
+                if new and (last is None or at - last > license_scan.GAP):
+                    groups.append((set(), set()))
+                if groups and (new or (last is not None and at - last <= license_scan.GAP)):
+                    groups[-1][0].update(new)
+                    groups[-1][1].update([pair] if pair in firsts else [])
+                last = at if new else last
+            found += [g for g in groups if sum(model.speaks[features[x]] for x in g[0]) >= license_scan.LEAST]
+        best, families = [], set()
+        for grams, pairs in found:
+            p = model.probabilities(grams)
+            f = model.families[max(range(len(p)), key=lambda k: (p[k], model.families[k]))]
+            sure = {fam for fam, ps, n in model.templates if len(ps & pairs) >= n}
+            if p.max() >= model.certain and f in sure and f != "unknown":
+                families.add(f)
+                best.append((p.max(), f))
+        out.append((i, len(found), tuple(sorted(families)), max(best)[1] if best else "unknown" if found else None, round(max(best)[0], 9) if best else None))
+    return out
+
+
+def test_license_scan(spark, docs, rows):
+    near = [prose(700 + k, 30) for k in range(80)]
+    cases = [(1100 + k, t, want) for k, (t, want) in enumerate(NOTICES)] + [(1200 + k, t, want) for k, (want, t) in enumerate(WRAPPED.items())]
+    more = [(i, f"{near[i % 80]}\n{t}\n{near[(i + 1) % 80]}", None, None, 0) for i, t, _ in cases]
+    more += [(1300, f"{WRAPPED['mit']}\n\n{prose(9, 12_000)}\n \n{NOTICES[3][0]}", None, None, 0), (1301, f"{NOTICES[0][0]}\n\n{NOTICES[1][0]}", None, None, 0), more[0]]
+    all_ = [*rows, *more]
+    df = spark.createDataFrame(all_, SCHEMA).selectExpr("*", "1 AS digest", "2 AS para", "3 AS h", "4 AS feature", "5 AS passage", "6 AS family")
+    got = [(r["doc_id"], r["n_passages"], tuple(r["families"]), r["license"], None if r["probability"] is None else round(r["probability"], 9)) for r in license_scan.scan(df).collect()]
+    assert sorted(got, key=str) == sorted(plain_scan(all_, license_scan.train()), key=str)
+    found = {r[0]: r for r in got}
+    assert [(t, found[i][3]) for i, t, _ in cases] == [(t, want) for _, t, want in cases]
+    assert found[1300][2] == ("gpl", "mit") and found[1301][2] == ("apache", "mit") and found[7][3] is None is found[8][3]
+    assert license_scan.scan(empty(spark)).count() == 0
 
 
 def test_pipeline_against_a_plain_version(spark, tmp_path, rows):
