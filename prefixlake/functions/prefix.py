@@ -6,6 +6,8 @@ Containment is an equality join: the longer prefix is masked to each length that
 from __future__ import annotations
 
 import ipaddress
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,28 +46,36 @@ def same_prefix(text: str) -> Column:
 def more_specific(text: str) -> Column:
     """Strictly longer prefixes inside ``text``."""
     afi, plen, hi, lo = literal(text)
-    n = F.lit(plen)
-    return (F.col("afi") == afi) & (F.col("plen") > plen) & (mask_hi(F.col("afi"), F.col("p_hi"), n) == hi) & (mask_lo(F.col("afi"), F.col("p_lo"), n) == lo)
+    inside = (F.col("afi") == afi) & (F.col("plen") > plen)
+    if afi == 1:
+        return inside & _span("p_lo", lo, plen + 32)
+    return inside & (_span("p_hi", hi, plen) if plen <= 64 else (F.col("p_hi") == hi) & _span("p_lo", lo, plen - 64))
+
+
+def _span(name: str, first: int, n: int) -> Column:
+    """The values that share the upper ``n`` of 64 bits with ``first``: one range, also of signed numbers; it reaches the scan."""
+    return F.col(name).between(F.lit(first).cast("long"), F.lit(first + (1 << (64 - n)) - 1).cast("long")) if n else F.lit(True)
 
 
 def less_specific(text: str) -> Column:
-    """Strictly shorter prefixes that cover ``text``: one of its at most 128 ancestors, so the scan gets plain comparisons."""
+    """Strictly shorter prefixes that cover ``text``: one of its at most 128 ancestors, as plain comparisons that reach the scan."""
     net = ipaddress.ip_network(text, strict=False)
     ups = [literal(str(net.supernet(new_prefix=n))) for n in range(net.prefixlen)]
-    return F.struct(*BITS).isin([F.struct(F.lit(a), F.lit(n), F.lit(h).cast("long"), F.lit(l_).cast("long")) for a, n, h, l_ in ups]) if ups else F.lit(False)
+    one = [(F.col("plen") == n) & (F.col("p_hi") == F.lit(h).cast("long")) & (F.col("p_lo") == F.lit(lo).cast("long")) for _, n, h, lo in ups]
+    afi, plen, _, _ = literal(text)
+    return (F.col("afi") == afi) & (F.col("plen") < plen) & reduce(or_, one) if one else F.lit(False)
 
 
 def covers(wide: DataFrame, narrow: DataFrame, how: str = "inner") -> DataFrame:
     """``narrow`` joined with the rows of ``wide`` (BITS as w_afi, w_plen, w_hi, w_lo) that cover or equal its prefix.
 
-    Each narrow prefix meets only the lengths that ``wide`` has (at most 162 numbers, which the driver reads), as an
-    equality join; Catalyst picks a broadcast by size.
+    Each narrow prefix meets only the lengths that ``wide`` has (a row of at most 129 numbers for each family, sent to all
+    tasks), as an equality join; Catalyst picks a broadcast by size. ``wide`` is used twice: store it if it is costly.
     """
-    have = wide.groupBy("w_afi").agg(F.collect_set("w_plen").alias("n")).collect()
-    lengths = {r["w_afi"]: sorted(r["n"]) for r in have}
-    options = lambda a: F.array(*map(F.lit, lengths.get(a, []))).cast("array<int>")
-    mine = F.filter(F.when(F.col("afi") == 1, options(1)).otherwise(options(2)), lambda n: n <= F.col("plen"))
-    up = narrow.withColumn("up", (F.explode_outer if how == "left" else F.explode)(mine))
+    lengths = wide.groupBy(F.col("w_afi").alias("__afi")).agg(F.collect_set("w_plen").alias("__have"))
+    met = narrow.join(F.broadcast(lengths), F.col("afi") == F.col("__afi"), "left")
+    mine = F.filter(F.col("__have"), lambda n: n <= F.col("plen"))
+    up = met.withColumn("up", (F.explode_outer if how == "left" else F.explode)(mine)).drop("__afi", "__have")
     hi, lo = mask_hi(F.col("afi"), F.col("p_hi"), F.col("up")), mask_lo(F.col("afi"), F.col("p_lo"), F.col("up"))
     up = up.withColumns({"up_hi": hi, "up_lo": lo})
     on = (F.col("afi") == F.col("w_afi")) & (F.col("up") == F.col("w_plen")) & (F.col("up_hi") == F.col("w_hi")) & (F.col("up_lo") == F.col("w_lo"))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from prefixlake.functions.attributes import neighbour_asn
 from prefixlake.functions.prefix import BITS, as_wide, covers
-from prefixlake.operators.search import longest_match
+from prefixlake.operators.search import longest_prefix
 from prefixlake.schema import FLOWSPEC, UNICAST
+from prefixlake.sources.stored import stored
 
 
 def key_prefix(dst: Column, afi: Column) -> Column:
@@ -28,11 +29,14 @@ def validity(rules: DataFrame, rib: DataFrame, peers: DataFrame) -> DataFrame:
     who = peers.select(F.col("id").alias("mui"), "originator", "remote_asn")
     named = rules.join(who, "mui", "left").withColumn("originator", F.coalesce("originator", "mui"))
     dst = named.where("plen IS NOT NULL")
-    routes = longest_match(rib, dst).join(who.withColumnRenamed("originator", "r_originator"), "mui", "left")
-    best = routes.groupBy(*BITS, F.coalesce("r_originator", "mui").alias("originator")).agg(F.min(F.coalesce(neighbour_asn(F.col("attrs")), F.col("remote_asn"))).alias("best_as"))
-    active = rib.where((F.col("safi") == UNICAST) & (F.col("status") == "active")).join(who, "mui", "left")
-    inside = active.select(*BITS, F.coalesce(neighbour_asn(F.col("attrs")), F.col("remote_asn")).alias("n_as")).where("n_as IS NOT NULL").distinct()
-    wide = as_wide(dst.select(*BITS).distinct())
+    # of the table, once: prefix, originator and neighbour AS of active unicast routes
+    unicast = rib.where((F.col("safi") == UNICAST) & (F.col("status") == "active")).select(*BITS, "mui", neighbour_asn(F.col("attrs")).alias("n_as")).join(who, "mui", "left")
+    active = stored(unicast.groupBy(*BITS, F.coalesce("originator", "mui").alias("originator")).agg(F.min(F.coalesce("n_as", "remote_asn")).alias("least"), F.max(F.coalesce("n_as", "remote_asn")).alias("most")))
+    longest = longest_prefix(active, dst)
+    routes = active.select(F.col("afi").alias("r_afi"), F.col("plen").alias("r_plen"), F.col("p_hi").alias("r_hi"), F.col("p_lo").alias("r_lo"), "originator", F.col("least").alias("best_as"))
+    best = longest.join(routes, F.expr("afi = r_afi AND m_plen = r_plen AND m_hi = r_hi AND m_lo = r_lo")).select(*BITS, "originator", "best_as")
+    inside = active.select(*BITS, F.explode(F.array_distinct(F.array("least", "most"))).alias("n_as")).where("n_as IS NOT NULL").distinct()
+    wide = stored(as_wide(dst.select(*BITS).distinct()))
     narrow = covers(wide, inside).where("plen > w_plen").groupBy("w_afi", "w_plen", "w_hi", "w_lo").agg(F.min("n_as").alias("least"), F.max("n_as").alias("most"))
     narrow = narrow.select(F.col("w_afi").alias("afi"), F.col("w_plen").alias("plen"), F.col("w_hi").alias("p_hi"), F.col("w_lo").alias("p_lo"), "least", "most")
     judged = named.join(best.withColumn("matched", F.lit(True)), [*BITS, "originator"], "left").join(narrow, BITS, "left")

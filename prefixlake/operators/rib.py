@@ -53,13 +53,15 @@ def fold(events: DataFrame, retain: bool = True, sessions: bool = True) -> DataF
     routes = surviving(events) if sessions else events.where(F.col("kind").isin("announce", "withdraw")).withColumn("session_down", F.lit(None).cast("long"))
     announced = F.col("kind") == "announce"
     state = routes.groupBy(*KEY, "mui").agg(
-        F.max(F.struct("seq", "kind")).alias("last"),
-        F.max(F.when(announced, F.struct("seq", "attrs"))).alias("held"),
+        F.max("seq").alias("seq"),
+        F.max(F.when(announced, F.col("seq"))).alias("held"),
         F.max("session_down").alias("session_down"),
+        F.max_by("attrs", F.when(announced, F.col("seq"))).alias("attrs"),
     )
-    withdrawn = (F.col("last.kind") == "withdraw") | F.coalesce(F.col("session_down") > F.col("last.seq"), F.lit(False))
-    attrs = F.col("held.attrs") if retain else F.when(~withdrawn, F.col("held.attrs"))
-    return state.where("held IS NOT NULL").select(*KEY, "mui", F.col("last.seq").alias("seq"), F.when(withdrawn, "withdrawn").otherwise("active").alias("status"), attrs.alias("attrs"))
+    # the last event is an announcement if it is the last announcement; without the attributes, plain numbers are summed up by hash
+    withdrawn = (F.col("held") < F.col("seq")) | F.coalesce(F.col("session_down") > F.col("seq"), F.lit(False))
+    attrs = F.col("attrs") if retain else F.when(~withdrawn, F.col("attrs"))
+    return state.where("held IS NOT NULL").select(*KEY, "mui", "seq", F.when(withdrawn, "withdrawn").otherwise("active").alias("status"), attrs.alias("attrs"))
 
 
 def compact(events: DataFrame) -> DataFrame:
@@ -82,22 +84,15 @@ def transitions(events: DataFrame) -> DataFrame:
     since its last event deleted or withdrew isn't active any more.
     """
     by = Window.partitionBy(*KEY, "mui").orderBy("seq")
-    down = events.where(F.col("kind").isin(*DOWNS)).select("mui", F.col("seq").alias("d"), F.when(F.col("kind") == "peer_down_family", F.col("afi")).alias("d_afi"), F.when(F.col("kind") == "peer_down_family", F.col("safi")).alias("d_safi"))
-    routes = events.where(F.col("kind").isin("announce", "withdraw")).withColumn("p_kind", F.lag("kind").over(by)).withColumn("p_seq", F.lag("seq").over(by))
-    # the last down before each event, by a running maximum over both kinds of rows of a mui
-    marks = routes.select("mui", "seq", "afi", "safi", *[c for c in routes.columns if c not in ("mui", "seq", "afi", "safi")], F.lit(None).cast("long").alias("d"), F.lit(None).cast("int").alias("d_afi"), F.lit(None).cast("int").alias("d_safi"))
-    marks = marks.unionByName(down.withColumn("seq", F.col("d")), allowMissingColumns=True)
-    run = Window.partitionBy("mui").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    families = [(1, 1), (2, 1), (1, 2), (2, 2), (1, 133), (2, 133)]
-    marks = marks.withColumn("d_all", F.max(F.when(F.col("d_afi").isNull(), F.col("d"))).over(run))
-    for a, s in families:
-        marks = marks.withColumn(f"d_{a}_{s}", F.max(F.when((F.col("d_afi") == a) & (F.col("d_safi") == s), F.col("d"))).over(run))
-    own = F.coalesce(*(F.when((F.col("afi") == a) & (F.col("safi") == s), F.col(f"d_{a}_{s}")) for a, s in families))
-    cut = F.greatest("d_all", own)
-    was = (F.col("p_kind") == "announce") & ~F.coalesce(cut > F.col("p_seq"), F.lit(False))
-    was = F.coalesce(was, F.lit(False))
+    routes = events.where(F.col("kind").isin("announce", "withdraw")).select(*KEY, "mui", "seq", "kind").withColumn("p_kind", F.lag("kind").over(by)).withColumn("p_seq", F.lag("seq").over(by))
+    # a row of session events for each mui, as few as there are sessions; Catalyst sends it to all tasks if it is small
+    family = lambda c: F.when(F.col("kind") == "peer_down_family", F.col(c))
+    downs = events.where(F.col("kind").isin(*DOWNS)).groupBy("mui").agg(F.collect_list(F.struct("seq", family("afi").alias("afi"), family("safi").alias("safi"))).alias("downs"))
+    marks = routes.join(downs, "mui", "left")
+    between = lambda d: (d["seq"] > F.col("p_seq")) & (d["seq"] < F.col("seq")) & (d["afi"].isNull() | ((d["afi"] == F.col("afi")) & (d["safi"] == F.col("safi"))))
+    was = F.coalesce(F.col("p_kind") == "announce", F.lit(False)) & ~F.coalesce(F.exists("downs", between), F.lit(False))
     now = F.col("kind") == "announce"
-    out = marks.where("kind IS NOT NULL").withColumn("delta", F.when(now & ~was, 1).when(~now & was, -1).otherwise(0)).withColumn("duplicate", now & was)
+    out = marks.withColumn("delta", F.when(now & ~was, 1).when(~now & was, -1).otherwise(0)).withColumn("duplicate", now & was)
     return out.select(*KEY, "mui", "seq", "kind", "delta", "duplicate")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from prefixlake.functions.attributes import origin_asn
 from prefixlake.functions.prefix import BITS, as_wide, covers
 from prefixlake.schema import UNICAST
+from prefixlake.sources.stored import stored
 
 
 def fold_vrps(deltas: DataFrame) -> DataFrame:
@@ -26,17 +27,16 @@ def validity(prefixes: DataFrame, vrps: DataFrame) -> DataFrame:
 
     Only distinct pairs meet the VRPs, so a prefix that thousands of peers announce is checked once.
     """
-    pairs = prefixes.select(*BITS, "origin").distinct()
+    pairs = stored(prefixes.where("origin IS NOT NULL").select(*BITS, "origin").distinct())
     wide = as_wide(vrps, "asn", F.coalesce("max_len", "plen").alias("max_len"))
-    met = covers(wide, pairs.where("origin IS NOT NULL"))
+    met = covers(wide, pairs)
     found = met.groupBy(*BITS, "origin").agg(F.max(F.when((F.col("asn") == F.col("origin")) & (F.col("plen") <= F.col("max_len")), 1).otherwise(0)).alias("ok"))
-    checked = pairs.where("origin IS NOT NULL").join(found, [*BITS, "origin"], "left").select(*BITS, "origin", F.when(F.col("ok") == 1, "valid").when(F.col("ok") == 0, "invalid").otherwise("notFound").alias("rov"))
-    return checked
+    return pairs.join(found, [*BITS, "origin"], "left").select(*BITS, "origin", F.when(F.col("ok") == 1, "valid").when(F.col("ok") == 0, "invalid").otherwise("notFound").alias("rov"))
 
 
 def with_rov(rib: DataFrame, vrps: DataFrame) -> DataFrame:
-    """``rib`` and its status ``rov``; only unicast routes with an origin are checked."""
-    rows = rib.withColumn("origin", F.when(F.col("safi") == UNICAST, origin_asn(F.col("attrs"))))
+    """``rib`` and its status ``rov``; only unicast routes with an origin are checked. ``rib`` is stored, as it is used twice: select what is needed."""
+    rows = stored(rib).withColumn("origin", F.when(F.col("safi") == UNICAST, origin_asn(F.col("attrs"))))
     state = validity(rows.where("origin IS NOT NULL"), vrps)
     return rows.join(state, [*BITS, "origin"], "left").withColumn("rov", F.coalesce("rov", F.lit("notChecked"))).drop("origin")
 
@@ -48,8 +48,9 @@ def revalidate(rib: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame
     """
     names = [*BITS, "asn", "max_len"]
     delta = before.select(names).exceptAll(after.select(names)).unionByName(after.select(names).exceptAll(before.select(names)))
-    rows = rib.where((F.col("safi") == UNICAST) & (F.col("status") == "active")).withColumn("origin", origin_asn(F.col("attrs"))).where("origin IS NOT NULL")
-    touched = covers(as_wide(delta).distinct(), rows.select(*BITS, "origin").distinct()).select(*BITS, "origin").distinct()
+    rows = rib.where((F.col("safi") == UNICAST) & (F.col("status") == "active")).select(*BITS, "mui", origin_asn(F.col("attrs")).alias("origin")).where("origin IS NOT NULL")
+    rows = stored(rows)
+    touched = stored(covers(as_wide(stored(delta)).distinct(), rows.select(*BITS, "origin").distinct()).select(*BITS, "origin").distinct())
     state = validity(touched, before).withColumnRenamed("rov", "previous").join(validity(touched, after).withColumnRenamed("rov", "current"), [*BITS, "origin"])
     return rows.join(state, [*BITS, "origin"]).select(*BITS, "mui", "origin", "previous", "current", (F.col("previous") != F.col("current")).alias("has_changed"))
 

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefixlake.functions import attributes as A
-from prefixlake.functions.prefix import BITS, as_wide, covers, less_specific, more_specific, same_prefix
+from prefixlake.functions.prefix import BITS, as_wide, covers, less_specific, mask_hi, mask_lo, more_specific, same_prefix
 from prefixlake.plans.policy import POLICIES
 from prefixlake.schema import MULTICAST, UNICAST
+from prefixlake.sources.stored import stored
 
 
 @dataclass
@@ -111,13 +112,21 @@ def source(rows: DataFrame) -> DataFrame:
 
 def longest_match(rib: DataFrame, targets: DataFrame) -> DataFrame:
     """For each distinct prefix of ``targets`` (BITS): m_plen of the longest unicast prefix with an active route that covers it, and its routes."""
-    active = rib.where((F.col("safi") == UNICAST) & (F.col("status") == "active"))
-    prefixes = as_wide(active).distinct()
-    best = covers(prefixes, targets.select(*BITS).distinct()).groupBy(*BITS).agg(F.max(F.struct("w_plen", "w_hi", "w_lo")).alias("m")).select(*BITS, F.col("m.w_plen").alias("m_plen"), F.col("m.w_hi").alias("m_hi"), F.col("m.w_lo").alias("m_lo"))
+    active = stored(rib.where((F.col("safi") == UNICAST) & (F.col("status") == "active")).select(*BITS, "mui", "attrs"))
+    best = longest_prefix(active, targets)
     routes = active.select(F.col("afi").alias("r_afi"), F.col("plen").alias("r_plen"), F.col("p_hi").alias("r_hi"), F.col("p_lo").alias("r_lo"), "mui", "attrs")
     return best.join(routes, F.expr("afi = r_afi AND m_plen = r_plen AND m_hi = r_hi AND m_lo = r_lo")).drop("r_afi", "r_plen", "r_hi", "r_lo")
 
 
+def longest_prefix(active: DataFrame, targets: DataFrame) -> DataFrame:
+    """For each distinct prefix of ``targets`` (BITS): m_plen, m_hi, m_lo of the longest prefix of ``active`` that covers it."""
+    prefixes = stored(as_wide(active).distinct())
+    # the widths of one target's prefixes are all different, so the longest one is the one of the largest number
+    met = covers(prefixes, targets.select(*BITS).distinct()).groupBy(*BITS).agg(F.max("w_plen").alias("m_plen"))
+    length = F.col("m_plen")
+    return met.select(*BITS, length, mask_hi(F.col("afi"), F.col("p_hi"), length).alias("m_hi"), mask_lo(F.col("afi"), F.col("p_lo"), length).alias("m_lo"))
+
+
 def with_fallback(rib: DataFrame, prefix: str) -> DataFrame:
     """Active routes of a prefix: unicast ones, or multicast ones if there are none."""
     rows = rib.where(same_prefix(prefix) & (F.col("status") == "active") & F.col("safi").isin(UNICAST, MULTICAST))
@@ -126,5 +135,6 @@ def with_fallback(rib: DataFrame, prefix: str) -> DataFrame:
 
 def lists_cover(routes: DataFrame, listed: DataFrame) -> DataFrame:
     """The routes that a prefix of the list ``listed`` (BITS) covers or equals, each once."""
+    routes = stored(routes)
     hit = covers(as_wide(listed).distinct(), routes.select(*BITS).distinct()).select(*BITS).distinct()
     return routes.join(hit, BITS, "left_semi")

@@ -86,7 +86,7 @@ def u19_asn_lists(spark, sf_dir):
 @query(with_("act") + "SELECT afi, plen, p_hi, p_lo, mui FROM act WHERE safi = 1 AND afi = 1 AND ((plen >= 3 AND p_lo - p_lo % 536870912 = 536870912) OR (plen >= 4 AND p_lo - p_lo % 268435456 = 2415919104))")
 def u20_prefix_lists(spark, sf_dir):
     listed = spark.createDataFrame([literal(x) for x in ("32.0.0.0/3", "144.0.0.0/4")], "afi int, plen int, p_hi long, p_lo long")
-    return S.lists_cover(active(spark, sf_dir).where("safi = 1"), listed).select(*BITS, "mui")
+    return S.lists_cover(active(spark, sf_dir).where("safi = 1").select(*BITS, "mui"), listed).select(*BITS, "mui")
 
 
 @query(with_("vrp") + "SELECT seq, CASE WHEN action = coalesce(lag(action) OVER (PARTITION BY afi, plen, p_hi, p_lo, asn, coalesce(max_len, plen) ORDER BY seq), 'withdraw') THEN CASE WHEN action = 'withdraw' THEN 'unknown' ELSE 'duplicate' END ELSE 'changed' END AS effect FROM vrp")

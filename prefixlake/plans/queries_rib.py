@@ -151,8 +151,7 @@ def q5_sections(spark, sf_dir):
 
 @query(with_("act", "vrp", t="SELECT DISTINCT afi, plen, p_hi, p_lo FROM vrp", p="SELECT DISTINCT afi, plen, p_hi, p_lo FROM act WHERE safi = 1") + f"SELECT t.afi, t.plen, t.p_hi, t.p_lo, max(w.plen) AS m_plen FROM t JOIN p w ON {COVER} GROUP BY ALL")
 def q4_longest_match(spark, sf_dir):
-    rows = S.longest_match(rib_of(spark, sf_dir), demo.vrps(spark, sf_dir))
-    return rows.select(*BITS, "m_plen").distinct()
+    return S.longest_prefix(active(spark, sf_dir).where("safi = 1"), demo.vrps(spark, sf_dir)).select(*BITS, "m_plen")
 
 
 @query(with_("act") + f"SELECT {FLAT} FROM act WHERE safi = 1 AND afi = 2")

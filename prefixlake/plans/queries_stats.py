@@ -289,7 +289,7 @@ def r15_garbage(spark, sf_dir):
 
 @query(with_("act", "vrp") + ", " + VALID + " SELECT a.mui, coalesce(s.rov, 'notChecked') AS rov, count(*) AS n FROM act a LEFT JOIN st s ON a.safi = 1 AND s.afi = a.afi AND s.plen = a.plen AND s.p_hi = a.p_hi AND s.p_lo = a.p_lo AND s.origin = a.origin GROUP BY ALL")
 def v2_origin_validation(spark, sf_dir):
-    rows = rov.with_rov(active(spark, sf_dir), rov.fold_vrps(demo.vrps(spark, sf_dir)))
+    rows = rov.with_rov(active(spark, sf_dir).select("safi", *BITS, "mui", "attrs"), rov.fold_vrps(demo.vrps(spark, sf_dir)))
     return rows.groupBy("mui", "rov").agg(F.count("*").alias("n"))
 
 
