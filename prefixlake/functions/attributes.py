@@ -101,3 +101,18 @@ def hidden_hop(attrs: Column) -> Column:
 def selected(codes: Column, wanted: list[int]) -> Column:
     """The attribute type codes that a projection keeps; 15 never."""
     return F.filter(codes, lambda c: F.array_contains(F.array(*map(F.lit, wanted)).cast("array<int>"), c) & (c != 15))
+
+
+def is_ibgp(asn: Column, peer_asn: Column) -> Column:
+    """Whether a session's peer has the given ASN."""
+    return F.coalesce(asn == peer_asn, F.lit(False))
+
+
+def is_kind(kind: Column, *names: str) -> Column:
+    """Predicates on messages: route monitoring, peer up, peer down."""
+    return F.coalesce(kind.isin(*names), F.lit(False))
+
+
+def rov_is(status: Column, name: str) -> Column:
+    """valid, invalid or notFound; an unchecked route is none of them."""
+    return F.coalesce(status == name, F.lit(False))

@@ -89,3 +89,37 @@ def ordered(rules: DataFrame) -> DataFrame:
         return pd.Series([None if r is None else order_key(bytes(r), a == 2) for r, a in zip(raw, afi, strict=True)])
 
     return rules.orderBy(key(F.col("nlri_raw"), F.col("afi")).asc_nulls_last(), "mui")
+
+
+def placed_rules(rules: DataFrame, *ties: Column) -> DataFrame:
+    """``rules`` (nlri_raw, afi) and their ``place`` in RFC order, from 1; ``ties`` order equal rules. The key is made in Arrow batches; no task holds all rules."""
+    from prefixlake.operators.stats import placed
+
+    @F.pandas_udf("string")
+    def key(raw: pd.Series, afi: pd.Series) -> pd.Series:
+        return pd.Series([None if r is None else order_key(bytes(r), a == 2) for r, a in zip(raw, afi, strict=True)])
+
+    keyed = stored(rules.withColumn("__key", key(F.col("nlri_raw"), F.col("afi"))))
+    return placed(keyed, F.col("__key").asc_nulls_last(), *ties).drop("__key")
+
+
+# Types of extended communities that are traffic actions (RFC 8955, section 7).
+RATE, ACTION, REDIRECT, MARKING = 0x8006, 0x8007, 0x8008, 0x8009
+
+
+def actions(communities: Column) -> Column:
+    """The traffic actions among 8-byte extended communities (as numbers): an array of kind, asn and value; others are left out.
+
+    rate-limit: its ASN, and the bits of the rate (a 32-bit float); traffic-action: 1 terminal, 2 sample; redirect: ASN
+    and number; mark: the DSCP.
+    """
+    right = lambda c, n: F.call_function("shiftrightunsigned", c, F.lit(n))
+
+    def one(c: Column) -> Column:
+        kind, asn, low = right(c, 48).bitwiseAND(0xFFFF), right(c, 32).bitwiseAND(0xFFFF), c.bitwiseAND(0xFFFFFFFF)
+        name = F.when(kind == RATE, "rate-limit").when(kind == ACTION, "traffic-action").when(kind == REDIRECT, "redirect").when(kind == MARKING, "mark")
+        # the last bit says that later rules still apply, so terminal is its absence
+        value = F.when(kind == ACTION, (F.lit(1) - low.bitwiseAND(1)) + low.bitwiseAND(2)).when(kind == MARKING, low.bitwiseAND(63)).otherwise(low)
+        return F.struct(name.alias("kind"), F.when(kind.isin(RATE, REDIRECT), asn).alias("asn"), value.cast("long").alias("value"))
+
+    return F.filter(F.transform(communities, one), lambda a: a["kind"].isNotNull())

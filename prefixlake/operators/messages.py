@@ -40,3 +40,15 @@ def counts(messages: DataFrame) -> DataFrame:
     """``messages`` and their numbers of announcements, withdrawals and hops."""
     n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
     return messages.withColumns({"announcements": n("announced"), "withdrawals": n("withdrawn")})
+
+
+def log_counts(messages: DataFrame) -> DataFrame:
+    """What a full log says of each message: hops of its path, and prefixes by how they are carried (conventional or multiprotocol, announced or withdrawn)."""
+    n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    mp = lambda c, yes: F.filter(c, lambda x: (x["afi"] != 1) | (x["safi"] != 1) if yes else (x["afi"] == 1) & (x["safi"] == 1))
+    return messages.withColumns({"as_path_hops": n("as_path"), "conventional_reach": n(mp("announced", False)), "mp_reach": n(mp("announced", True)), "conventional_unreach": n(mp("withdrawn", False)), "mp_unreach": n(mp("withdrawn", True))})
+
+
+def bulk_kind(info: Column) -> Column:
+    """What a bulk withdrawal of a session means: with the session's register entry the entry is gone, without it its routes are marked."""
+    return F.when(info.isNotNull(), "peer_remove").otherwise("peer_down")

@@ -48,3 +48,17 @@ def metric_lines(values: DataFrame, name: str, labels: tuple[str, ...]) -> DataF
 def includes(text: Column, pattern: str) -> Column:
     """Whether a text holds a pattern, in any case."""
     return F.lower(text).contains(pattern.lower())
+
+
+def admin_label(name: Column, description: Column) -> Column:
+    """The JSON label of an upstream router; placeholders and empty texts are left out, null if nothing is left."""
+    real = lambda c, none: F.when((c != none) & (c != ""), c)
+    n, d = real(name, "no-sysname"), real(description, "no-sysdesc")
+    return F.when(n.isNotNull() | d.isNotNull(), F.to_json(F.struct(n.alias("sysName"), d.alias("sysDescr"))))
+
+
+def redacted(config: Column) -> Column:
+    """A configuration's text with the values of secrets replaced; a text whose quotes don't pair up is withheld as a whole."""
+    hidden = F.regexp_replace(config, r'(?mi)^(\s*(?:md5_key|password|username|secret|token)\s*=\s*)(?:"[^"\n]*"|[^\s#]+)', r'$1"***"')
+    odd = F.exists(F.split(config, "\n"), lambda line: F.length(F.regexp_replace(line, '[^"]', "")) % 2 == 1)
+    return F.when(odd, "***").otherwise(hidden)

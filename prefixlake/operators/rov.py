@@ -60,3 +60,12 @@ def vrp_history(deltas: DataFrame) -> DataFrame:
     by = Window.partitionBy(*BITS, "asn", "max_len").orderBy("seq")
     rows = deltas.withColumn("max_len", F.coalesce("max_len", "plen")).withColumn("before", F.lag("action").over(by))
     return rows.withColumn("effect", F.when(F.col("action") == F.coalesce("before", F.lit("withdraw")), F.when(F.col("action") == "withdraw", "unknown").otherwise("duplicate")).otherwise("changed"))
+
+
+def accepted_deltas(deltas: DataFrame, verdict) -> DataFrame:
+    """VRP events and whether they start a revalidation: all of them change the VRPs, those that ``verdict`` rejects nothing more."""
+    return deltas.withColumn("revalidates", F.coalesce(verdict, F.lit(True)))
+
+
+def fmt_vrp(action, prefix, asn):
+    return F.concat(F.when(action == "withdraw", "withdraw").otherwise("announce"), F.lit(" VRP "), prefix, F.lit(" from AS"), asn.cast("string"))

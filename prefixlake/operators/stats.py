@@ -129,3 +129,20 @@ def roles_fit(a: Column, b: Column) -> Column:
     pair = F.concat_ws("|", a, b)
     fits = ["provider|customer", "customer|provider", "rs|rs-client", "rs-client|rs", "peer|peer"]
     return F.when(a.isNotNull() & b.isNotNull(), pair.isin(fits))
+
+
+BOUNDS = (1, 10, 100, 1000, 10000)
+
+
+def histogram(values: DataFrame, value: str) -> DataFrame:
+    """le, n and total: the number and the sum of the values up to each bound, cumulative; ``+Inf`` last. One aggregate of constant size."""
+    up = lambda b: F.col(value) <= b if b else F.lit(True)
+    bounds = [*BOUNDS, None]
+    one = values.agg(*(F.count(F.when(up(b), 1)).alias(f"n{k}") for k, b in enumerate(bounds)), *(F.coalesce(F.sum(F.when(up(b), F.col(value))), F.lit(0)).alias(f"t{k}") for k, b in enumerate(bounds)))
+    rows = F.array(*(F.struct(F.lit(str(b) if b else "+Inf").alias("le"), F.col(f"n{k}").alias("n"), F.col(f"t{k}").alias("total")) for k, b in enumerate(bounds)))
+    return one.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def set_sides(local: Column, remote: Column) -> tuple[Column, Column, Column]:
+    """What only one side can, what only the other can, and what both can; sorted."""
+    return F.array_sort(F.array_except(local, remote)), F.array_sort(F.array_except(remote, local)), F.array_sort(F.array_intersect(local, remote))

@@ -191,7 +191,12 @@ def q15_first_prefixes(spark, sf_dir):
     return stats.first_prefixes(active(spark, sf_dir).where("safi = 1"))
 
 
-@query()
+RULE_BYTES = """n AS (SELECT o_orderkey AS rule, 8 + 8 * (o_orderkey % 3) AS len, (o_custkey * 4099 + o_orderkey * 7919) % 16777216 * 256 AS addr, [NULL, '06', '11', '01'][o_orderkey % 4 + 1] AS proto FROM orders)"""
+
+
+@query(f"WITH {RULE_BYTES} SELECT rule, row_number() OVER (ORDER BY CASE WHEN rule % 50 = 0 THEN '~0120' ELSE '01' || substr(lpad(bin(addr), 32, '0'), 1, len) || '2' || coalesce('0381' || proto || 'g', '') || 'zz' END, rule) AS place FROM n")
 def q13_flowspec_order(spark, sf_dir):
-    """Active rules in RFC 8955 order."""
-    return flowspec.ordered(flowspec.rules_of(R.fold(demo.session_events(spark, sf_dir)))).select(*BITS, "mui", F.hex("nlri_raw").alias("nlri_hex"))
+    """Rules in RFC 8955 order: a destination and, for most, a protocol; one in 50 is malformed and comes last."""
+    rows = demo.table(spark, sf_dir, "orders").selectExpr("o_orderkey AS rule", "cast(8 + 8 * (o_orderkey % 3) AS int) AS len", "(o_custkey * 4099 + o_orderkey * 7919) % 16777216 * 256 AS addr", "element_at(array('', '038106', '038111', '038101'), cast(o_orderkey % 4 + 1 AS int)) AS proto")
+    raw = F.when(F.col("rule") % 50 == 0, "0120").otherwise(F.concat(F.lit("01"), F.lpad(F.hex("len"), 2, "0"), F.substring(F.lpad(F.hex("addr"), 8, "0"), F.lit(1), (F.col("len") / 4).cast("int")), F.col("proto")))
+    return flowspec.placed_rules(rows.select("rule", F.unhex(raw).alias("nlri_raw"), F.lit(1).alias("afi")), F.col("rule").asc()).select("rule", "place")

@@ -171,10 +171,10 @@ def a18_stats_rows(spark, sf_dir):
     return stats.stat_rows(active(spark, sf_dir))
 
 
-@query(with_("act") + "SELECT CASE WHEN n <= 1 THEN '1' WHEN n <= 10 THEN '10' WHEN n <= 100 THEN '100' WHEN n <= 1000 THEN '1000' WHEN n <= 10000 THEN '10000' ELSE '+Inf' END AS le, count(*) AS prefixes FROM (SELECT safi, afi, plen, p_hi, p_lo, count(*) AS n FROM act GROUP BY ALL) GROUP BY ALL")
+@query(with_("act", c="SELECT safi, afi, plen, p_hi, p_lo, count(*) AS v FROM act GROUP BY ALL") + "SELECT le, count(v)::BIGINT AS n, coalesce(sum(v), 0)::BIGINT AS total FROM (VALUES ('1', 1), ('10', 10), ('100', 100), ('1000', 1000), ('10000', 10000), ('+Inf', NULL)) b(le, bound) LEFT JOIN c ON bound IS NULL OR v <= bound GROUP BY le")
 def a19_routes_per_prefix_histogram(spark, sf_dir):
-    n = active(spark, sf_dir).groupBy("safi", *BITS).agg(F.count("*").alias("n"))
-    return n.groupBy(stats.bucket(F.col("n")).alias("le")).agg(F.count("*").alias("prefixes"))
+    """Cumulative, as a metrics histogram is."""
+    return stats.histogram(active(spark, sf_dir).groupBy("safi", *BITS).agg(F.count("*").alias("v")), "v")
 
 
 @query("SELECT time_bucket(INTERVAL '60 seconds', ts) AS start, count(*) AS dropped, count(DISTINCT user_id) AS peers FROM events WHERE event_type = 'error' GROUP BY ALL")
@@ -264,10 +264,11 @@ def t2_peers_diff(spark, sf_dir):
     return stats.sides(peers.where("parent_ingress = 1000003"), peers.where("parent_ingress = 1000005"), ["asn", "addr"])
 
 
-@query("SELECT p_partkey AS id, string_agg(CASE WHEN x < 4 AND x > (p_size % 3) THEN CAST(x AS VARCHAR) END, ',' ORDER BY x) AS both FROM part, range(0, 6) r(x) GROUP BY p_partkey, p_size")
+@query("SELECT p_partkey AS id, " + ", ".join(f"coalesce(string_agg(CASE WHEN {c} THEN CAST(x AS VARCHAR) END, ',' ORDER BY x), '') AS {n}" for n, c in (("only_local", "x > p_size % 3 AND x >= 4"), ("only_remote", "x <= p_size % 3 AND x < 4"), ("both_sides", "x > p_size % 3 AND x < 4"))) + " FROM part, range(0, 6) r(x) GROUP BY p_partkey, p_size")
 def t3_capability_sets(spark, sf_dir):
     rows = demo.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.expr("sequence(cast(p_size % 3 AS int) + 1, 5)").alias("local"), F.expr("array(0, 1, 2, 3)").alias("remote"))
-    return rows.select("id", F.when(F.size(F.array_intersect("local", "remote")) > 0, F.array_join(F.array_sort(F.array_intersect("local", "remote")).cast("array<string>"), ",")).alias("both"))
+    shown = (F.array_join(s.cast("array<string>"), ",").alias(n) for s, n in zip(stats.set_sides(F.col("local"), F.col("remote")), ("only_local", "only_remote", "both_sides"), strict=True))
+    return rows.select("id", *shown)
 
 
 @query("SELECT a.r_regionkey AS a, b.r_regionkey AS b, CASE WHEN a.r_regionkey = 4 AND b.r_regionkey = 4 OR (a.r_regionkey, b.r_regionkey) IN ((0, 3), (3, 0), (1, 2), (2, 1)) THEN true ELSE false END AS ok FROM region a, region b WHERE a.r_regionkey < 5 AND b.r_regionkey < 5")
