@@ -109,3 +109,45 @@ def k8_admin_labels(spark, sf_dir):
 def k15_redacted_configuration(spark, sf_dir):
     rows = demo.table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS id", """concat('name = "', s_name, '"\n  md5_key = "', s_acctbal, if(s_suppkey % 5 = 0, '', '"'), '\npassword = ', s_suppkey, ' # kept\nport = ', s_nationkey) AS config""")
     return rows.select("id", outputs.redacted(F.col("config")).alias("config"))
+
+
+def _hex(value: str, digits: int):
+    """A number as so many hexadecimal digits."""
+    return F.lpad(F.hex(F.expr(value)), digits, "0")
+
+
+def _update(path: str, prefix: str, withdraws):
+    """A BGP message with a path of one ASN (an expression), or a withdrawal, of a /24 whose upper 24 bits are ``prefix``."""
+    nlri = F.concat(F.lit("18"), _hex(prefix, 6))
+    attrs = F.concat(F.lit("4002060201"), _hex(path, 8))
+    body = F.when(withdraws, F.concat(F.lit("0004"), nlri, F.lit("0000"))).otherwise(F.concat(F.lit("00000009"), attrs, nlri))
+    return F.concat(F.lit("f" * 32), F.lpad(F.hex(F.length(body) / 2 + 19), 4, "0"), F.lit("02"), body)
+
+
+@query("SELECT o_orderkey AS rec, 1.0 * (o_orderkey % 1000) AS ts, CASE WHEN o_orderstatus = 'F' THEN 'withdraw' ELSE 'announce' END AS kind, 65000 + o_custkey % 500 AS peer_asn, 24 AS plen, (o_custkey * 7919 % 16777216) * 256 AS p_lo, CASE WHEN o_orderstatus <> 'F' THEN 64000 + o_orderkey % 90 END AS origin FROM orders")
+def s6_mrt_updates(spark, sf_dir):
+    """MRT records made of the orders, decoded by the reader's code: a record for each order, each with one prefix."""
+    from prefixlake.sources import wire
+
+    rows = demo.table(spark, sf_dir, "orders")
+    message = _update("64000 + o_orderkey % 90", "o_custkey * 7919 % 16777216", F.col("o_orderstatus") == "F")
+    body = F.concat(_hex("65000 + o_custkey % 500", 8), F.lit("0000fde8" + "0000" + "0001" + "c0000201" + "c0000202"), message)
+    record = F.concat(_hex("o_orderkey % 1000", 8), F.lit("00100004"), F.lpad(F.hex(F.length(body) / 2), 8, "0"), body)
+    out = wire.decoded(rows.select(F.col("o_orderkey").cast("string").alias("path"), F.unhex(record).alias("content")), wire.mrt_records)
+    return out.select(F.col("path").cast("long").alias("rec"), "ts", "kind", "peer_asn", "plen", "p_lo", A.origin_asn(F.col("attrs")).alias("origin"))
+
+
+@query("""SELECT s_suppkey AS router, t.n AS tab, (s_suppkey * 4 + t.n) * 256 AS p_lo, CASE WHEN s_suppkey % 3 = 1 AND t.n < 2 OR s_suppkey % 3 = 2 THEN 'withdrawn' ELSE 'active' END AS status FROM supplier, range(0, 3) t(n)""")
+def s17_bmp_sessions(spark, sf_dir):
+    """BMP captures made of the suppliers: a peer with two tables and another peer; in one capture of three the first peer goes down, in one the session ends."""
+    from prefixlake.sources import wire
+
+    peer = lambda flags, asn: F.concat(F.lit("00" + flags + "0" * 16 + "0" * 24 + "0a000001"), F.lit(asn), F.lit("01010101" + "00000007" + "00000000"))
+    framed = lambda kind, body: F.concat(F.lit("03"), F.lpad(F.hex(F.length(body) / 2 + 6), 8, "0"), F.lit(kind), body)
+    route = lambda n, flags, asn: framed("00", F.concat(peer(flags, asn), _update("64000", f"s_suppkey * 4 + {n}", F.lit(False))))
+    last = F.when(F.col("s_suppkey") % 3 == 1, framed("02", F.concat(peer("00", "0000fdea"), F.lit("01")))).when(F.col("s_suppkey") % 3 == 2, framed("05", F.lit("000100020001"))).otherwise("")
+    capture = F.concat(framed("04", F.lit("000200027231")), route(0, "00", "0000fdea"), route(1, "40", "0000fdea"), route(2, "00", "0000fdeb"), last)
+    rows = demo.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("path"), F.unhex(capture).alias("content"))
+    out = R.fold(wire.as_events(wire.decoded(rows, wire.bmp_records)))
+    at = F.floor(F.col("p_lo") / 256)
+    return out.select(F.floor(at / 4).alias("router"), (at % 4).alias("tab"), "p_lo", "status")

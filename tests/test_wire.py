@@ -91,10 +91,67 @@ def test_bmp(spark, tmp_path):
     (tmp_path / "a.bmp").write_bytes(data)
     rows = wire.read_bmp(spark, str(tmp_path))
     got = [(r["kind"], r["peer_address"], r["peer_flags"]) for r in rows.orderBy("ord").collect()]
-    assert got == [("peer_up", "10.0.0.1", 0), ("announce", "10.0.0.1", 0), ("announce", "10.0.0.1", 0), ("announce", "10.0.0.1", 64), ("peer_down", "10.0.0.1", 0)]
+    assert got == [("initiation", None, None), ("peer_up", "10.0.0.1", 0), ("announce", "10.0.0.1", 0), ("announce", "10.0.0.1", 0), ("announce", "10.0.0.1", 64), ("peer_down", "10.0.0.1", 0)]
     assert [r["attrs"]["as_path"] for r in rows.where("plen = 16").collect()] == [[65010, 65011]]
     state = sorted((r["p_lo"] >> 24, r["status"]) for r in fold(wire.as_events(rows)).where("plen = 8").collect())
-    assert state == [(10, "withdrawn"), (11, "active")]
+    assert state == [(10, "withdrawn"), (11, "withdrawn")]  # a peer's down takes all its tables
     (tmp_path / "b.bmp").write_bytes(data[:-1])
     with pytest.raises(Exception, match="bad BMP frame"):
         wire.read_bmp(spark, str(tmp_path)).collect()
+
+
+def test_family_gate_and_wide_asns(spark, tmp_path):
+    """Multicast of MRT updates is dropped; a two-byte session's wide path stands for the path's end."""
+    multicast = attr(14, struct.pack("!HBBI", 1, 2, 4, 0) + b"\0" + bytes([8, 20]), 0x80)
+    narrow = path(65001, 23456, 23456, width="H") + attr(17, struct.pack("!BBII", 2, 2, 200001, 200002), 0xC0)
+    two = mrt(16, 1, struct.pack("!HHHH", 65001, 65000, 0, 1) + bytes([192, 0, 2, 1, 192, 0, 2, 2]) + bgp(attrs=narrow, nlri=bytes([8, 30])))
+    (tmp_path / "a.mrt").write_bytes(bgp4mp(bgp(attrs=path(65001) + multicast, nlri=bytes([8, 10]))) + two)
+    rows = wire.read_mrt(spark, str(tmp_path)).orderBy("ord").collect()
+    assert [(r["p_lo"] >> 24, r["attrs"]["as_path"]) for r in rows] == [(10, [65001]), (30, [65001, 200001, 200002])]
+
+
+def test_rib_generic(spark, tmp_path):
+    flow = bytes.fromhex("0b01180a0001038106048135")[:12]
+    entry = struct.pack("!HIH", 0, 0, len(ATTRS)) + ATTRS
+    generic = lambda safi, nlri: mrt(13, 6, struct.pack("!IHB", 7, 1, safi) + nlri + struct.pack("!H", 1) + entry)
+    (tmp_path / "a.mrt").write_bytes(table() + generic(133, flow) + generic(1, bytes([8, 44])) + generic(128, bytes([8, 45])))
+    rows = wire.read_mrt(spark, str(tmp_path)).orderBy("ord").collect()
+    assert [(r["safi"], r["plen"]) for r in rows][2:] == [(133, 24), (1, 8)] and bytes(rows[2]["nlri_raw"]) == flow[1:]
+
+
+def addpath(nlri):
+    return mrt(16, 9, struct.pack("!IIHH", 65001, 65000, 0, 1) + bytes([192, 0, 2, 1, 192, 0, 2, 2]) + bgp(attrs=ATTRS, nlri=nlri))
+
+
+def test_down_takes_path_children(spark, tmp_path):
+    down = mrt(16, 5, struct.pack("!IIHH", 65001, 65000, 0, 1) + bytes([192, 0, 2, 1, 192, 0, 2, 2]) + struct.pack("!HH", 6, 1))
+    (tmp_path / "a.mrt").write_bytes(addpath(struct.pack("!IBB", 11, 8, 10)) + addpath(struct.pack("!IBB", 22, 8, 10)) + down)
+    (tmp_path / "b.mrt").write_bytes(addpath(struct.pack("!IBB", 22, 8, 10)))
+    states = [r["status"] for r in fold(wire.as_events(wire.read_mrt(spark, str(tmp_path / "a.mrt")))).collect()]
+    assert states == ["withdrawn", "withdrawn"]
+    assert sorted(r["status"] for r in fold(wire.as_events(wire.read_mrt(spark, str(tmp_path)))).collect()) == ["active", "withdrawn"]
+
+
+def test_bmp_session_ends(spark, tmp_path):
+    """What a session tells of itself, statistics, and its end, which takes all peers of this capture but of no other."""
+    told = struct.pack("!HH", 2, 2) + b"r1" + struct.pack("!HH", 1, 3) + b"one" + struct.pack("!HH", 1, 3) + b"two"
+    stats = struct.pack("!I", 2) + struct.pack("!HHI", 0, 4, 5) + struct.pack("!HHQ", 7, 8, 9)
+    data = frame(4, told) + frame(1, pph() + stats) + frame(0, pph() + bgp(attrs=ATTRS, nlri=bytes([8, 10]))) + frame(0, pph(asn=65020) + bgp(attrs=ATTRS, nlri=bytes([8, 11])))
+    (tmp_path / "a.bmp").write_bytes(data + frame(5, struct.pack("!HHH", 1, 2, 1)))
+    (tmp_path / "b.bmp").write_bytes(data)
+    rows = wire.read_bmp(spark, str(tmp_path))
+    info = {r["kind"]: r["info"] for r in rows.where("info IS NOT NULL").collect()}
+    assert info == {"initiation": '{"sysName": "r1", "sysDescr": "one|two"}', "peer_stats": '{"0": 5, "7": 9}', "termination": '{"reason": "1"}'}
+    got = sorted((r["status"], r["p_lo"] >> 24) for r in fold(wire.as_events(rows)).collect())
+    assert got == [("active", 10), ("active", 11), ("withdrawn", 10), ("withdrawn", 11)]
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.dump").write_bytes(b"".join(bytes(16) + len(f).to_bytes(8, "big") + f for f in (frame(4, told), frame(0, pph() + bgp(attrs=ATTRS, nlri=bytes([8, 10]))))))
+    assert [r["kind"] for r in wire.read_bmp_dump(spark, str(tmp_path / "d")).orderBy("ord").collect()] == ["initiation", "announce"]
+
+
+def test_vrp_files(spark, tmp_path):
+    (tmp_path / "v.csv").write_text("ASN,IP Prefix,Max Length,Trust Anchor\nAS65001,192.0.2.0/24,26,x\n65002,2001:db8::/32,,x\nAS1,broken,24,x\n")
+    (tmp_path / "v.json").write_text('{"roas": [{"asn": "AS65001", "prefix": "192.0.2.0/24", "maxLength": 26, "ta": "x"}, {"asn": 65002, "prefix": "2001:db8::/32", "ta": "x"}]}')
+    for rows in (wire.vrps_csv(spark, str(tmp_path / "v.csv")), wire.vrps_json(spark, str(tmp_path / "v.json"))):
+        got = sorted(tuple(r) for r in rows.collect())
+        assert got == [(1, 24, 0, 0xC0000200, 65001, 26), (2, 32, 0x20010DB800000000, 0, 65002, None)]
