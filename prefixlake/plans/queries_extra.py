@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from prefixlake.functions import attributes as A
 from prefixlake.functions.prefix import BITS, text
-from prefixlake.operators import flowspec, messages, outputs, rov, stats
+from prefixlake.operators import flowspec, messages, metrics, outputs, rov, stats
 from prefixlake.operators import rib as R
-from prefixlake.plans.policy import counters
-from prefixlake.plans.queries_rib import SESSIONS, TEXT_V4, active
+from prefixlake.plans.policy import counters, logged
+from prefixlake.plans.queries_rib import SESSIONS, TEXT_V4, active, rib_of
 from prefixlake.plans.registry import query
 from prefixlake.plans.rov_sql import VALID
 from prefixlake.sources import demo
@@ -151,3 +151,48 @@ def s17_bmp_sessions(spark, sf_dir):
     out = R.fold(wire.as_events(wire.decoded(rows, wire.bmp_records)))
     at = F.floor(F.col("p_lo") / 256)
     return out.select(F.floor(at / 4).alias("router"), (at % 4).alias("tab"), "p_lo", "status")
+
+
+def _metric_sql(source: str, label: str, **values: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{n}' AS name, CAST({label} AS VARCHAR) AS label, CAST({v} AS BIGINT) AS value FROM {source}" for n, v in values.items())
+
+
+@query(with_("ev", t="SELECT count(*) AS n, max(seq) AS last FROM ev") + _metric_sql("t", "'all'", num_updates="n", last_update="last"))
+def m1_gate_metrics(spark, sf_dir):
+    return metrics.gate(demo.route_events(spark, sf_dir))
+
+
+@query(
+    with_("sev", "ing", p="SELECT mui, count(*) FILTER (WHERE kind = 'announce') AS a, count(*) FILTER (WHERE kind = 'withdraw') AS w, count(*) FILTER (WHERE kind = 'reappeared') AS u, count(*) FILTER (WHERE kind IN ('peer_down', 'peer_remove')) AS d FROM sev GROUP BY mui",
+          t="SELECT parent_ingress AS r, count(*) FILTER (WHERE state = 'Connected') AS c, coalesce(sum(a), 0) AS a, coalesce(sum(w), 0) AS w, coalesce(sum(u), 0) AS u, coalesce(sum(d), 0) AS d FROM ing LEFT JOIN p ON p.mui = ing.id WHERE ingress_type = 'bgpViaBmp' GROUP BY parent_ingress")
+    + _metric_sql("t", "r", peers_connected="c", announcements="a", withdrawals="w", peer_ups="u", peer_downs="d")
+)
+def m2_bmp_metrics(spark, sf_dir):
+    return metrics.bmp_in(demo.session_events(spark, sf_dir), demo.ingresses(spark, sf_dir))
+
+
+@query(with_("flat", t="SELECT afi || '/' || safi AS l, count(*) AS n, count(*) FILTER (WHERE status = 'withdrawn') AS w, count(DISTINCT (plen, p_hi, p_lo)) AS u FROM flat GROUP BY ALL") + _metric_sql("t", "l", items="n", withdrawn="w", unique_prefixes="u"))
+def m3_table_metrics(spark, sf_dir):
+    return metrics.rib(rib_of(spark, sf_dir))
+
+
+@query("WITH t AS (SELECT user_id AS p, count(*) FILTER (WHERE event_type = 'signup') AS c, count(*) FILTER (WHERE event_type = 'error') AS d FROM events WHERE event_type IN ('signup', 'error') GROUP BY user_id) " + _metric_sql("t", "p", connections="c", disconnects="d"))
+def m4_session_metrics(spark, sf_dir):
+    rows = demo.table(spark, sf_dir, "events").where("event_type IN ('signup', 'error')").selectExpr("user_id AS peer", "if(event_type = 'signup', 'Established', 'Idle') AS state")
+    return metrics.bgp_in(rows)
+
+
+@query(
+    with_("vrp", h="SELECT afi, count(*) AS n FROM (SELECT DISTINCT afi, plen, p_hi, p_lo, asn, max_len FROM (SELECT afi, plen, p_hi, p_lo, asn, coalesce(max_len, plen) AS max_len, arg_max(action, seq) AS action FROM vrp GROUP BY ALL) WHERE action = 'announce') GROUP BY afi",
+          t="SELECT v.afi, count(*) FILTER (WHERE action = 'announce') AS a, count(*) FILTER (WHERE action = 'withdraw') AS w, coalesce(max(h.n), 0) AS n FROM vrp v LEFT JOIN h ON h.afi = v.afi GROUP BY v.afi")
+    + _metric_sql("t", "afi", announced="a", withdrawn="w", held="n")
+)
+def m5_vrp_metrics(spark, sf_dir):
+    deltas = demo.vrps(spark, sf_dir)
+    return metrics.rtr(deltas, rov.fold_vrps(deltas))
+
+
+@query(with_("ev", t="SELECT 'hidden hop' AS topic, count(*) AS n FROM ev WHERE kind = 'announce' AND otc IS NOT NULL AND otc NOT IN (as1, as2, as3) HAVING count(*) > 0") + _metric_sql("t", "topic", published="n"))
+def m6_broker_metrics(spark, sf_dir):
+    ev = demo.route_events(spark, sf_dir)
+    return metrics.broker(logged(ev, "hidden hop", (F.col("kind") == "announce") & A.hidden_hop(F.col("attrs"))))

@@ -118,6 +118,49 @@ def test_prefix_columns(spark):
     assert df.select(text(F.col("afi"), F.col("plen"), F.col("p_hi"), F.col("p_lo")).alias("t")).first()["t"] == "192.0.2.0/24"
 
 
+def test_includes_reach_the_scan(spark, tmp_path):
+    """Prefix searches of a stored table are ranges and equalities on its columns."""
+    R.fold(demo.route_events(spark, DATA), sessions=False).write.parquet(str(tmp_path / "rib"))
+    rib, ing = spark.read.parquet(str(tmp_path / "rib")), demo.ingresses(spark, DATA)
+    for q, want in (
+        (S.RouteQuery(prefix="10.0.0.0/8", include=("moreSpecifics",)), ("GreaterThanOrEqual(p_lo,167772160)", "LessThanOrEqual(p_lo,184549375)")),
+        (S.RouteQuery(prefix="10.1.0.0/16", include=("lessSpecifics",)), ("EqualTo(plen,8)", "EqualTo(p_lo,167772160)")),
+        (S.RouteQuery(prefix="2001:db8::/32", include=("moreSpecifics",)), ("GreaterThanOrEqual(p_hi,2306139568115548160)",)),
+    ):
+        spark.conf.set("spark.sql.maxMetadataStringLength", 20_000)
+        plan = S.search(rib, ing, q)._jdf.queryExecution().executedPlan().toString()
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+        pushed = plan[plan.index("PushedFilters: [") :]
+        assert all(w in pushed for w in want), pushed[:600]
+
+
+def test_ancestors_and_descendants(spark):
+    """The conditions of includes against Python's own networks, both families, signed halves and edges as well."""
+    import ipaddress
+
+    texts = ["0.0.0.0/0", "10.0.0.0/8", "10.128.0.0/9", "10.0.0.1/32", "255.0.0.0/8", "255.255.255.255/32", "::/0", "2001:db8::/32", "2001:db8::/64", "2001:db8::8000:0:0:0/65", "2001:db8::1/128", "ffff::/16", "ffff:ffff:ffff:ffff:ffff::/80", "8000::/1"]
+    df = spark.createDataFrame([(t, *literal(t)) for t in texts], "t string, afi int, plen int, p_hi long, p_lo long")
+    from prefixlake.functions.prefix import less_specific, more_specific
+
+    nets = {t: ipaddress.ip_network(t) for t in texts}
+    for t in texts:
+        same = [x for x in texts if nets[x].version == nets[t].version and x != t]
+        assert {r["t"] for r in df.where(more_specific(t)).collect()} == {x for x in same if nets[x].subnet_of(nets[t])}
+        assert {r["t"] for r in df.where(less_specific(t)).collect()} == {x for x in same if nets[t].subnet_of(nets[x])}
+
+
+def test_the_table_is_folded_once(spark, tmp_path):
+    """Validation against VRPs reads its events in one scan, whatever it does with the table afterwards."""
+    from prefixlake.operators import rov
+
+    demo.route_events(spark, DATA).write.parquet(str(tmp_path / "ev"))
+    active = R.fold(spark.read.parquet(str(tmp_path / "ev")), sessions=False).where("status = 'active'")
+    out = rov.with_rov(active.select("safi", "afi", "plen", "p_hi", "p_lo", "mui", "attrs"), rov.fold_vrps(demo.vrps(spark, DATA)))
+    assert str(tmp_path / "ev") not in out._jdf.queryExecution().executedPlan().toString()
+    counted = R.fold(spark.read.parquet(str(tmp_path / "ev")), sessions=False).groupBy("mui").count()._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in counted and "as_path" not in counted
+
+
 def test_search_checks_its_parameters(spark):
     with pytest.raises(ValueError, match="unknown function"):
         S.RouteQuery(policy="nothing").check()
