@@ -101,37 +101,41 @@ def _open(a: Column, b: Column) -> Column:
 
 
 def differing(a: Column, b: Column) -> Column:
-    """Where ``a`` differs from ``b``, by descending: an array of paragraph (from 0), from and to (characters of the paragraph, end excluded). Empty for equal roots.
+    """The paragraphs (from 0) in which ``a`` differs from ``b``: those that ``b`` hasn't, in sections that it hasn't. Empty for equal roots."""
+    theirs = F.transform(_open(b, a), lambda i: F.get(b["paragraphs"], i))
+    hit = let(theirs, lambda t: F.filter(_open(a, b), lambda i: ~F.array_contains(t, F.get(a["paragraphs"], i))))
+    return F.when(a["root"] == b["root"], F.array().cast("array<int>")).otherwise(hit)
 
-    A paragraph that differs but whose pieces ``b`` all has (moved ones, or fewer of them) counts as a whole.
-    """
 
-    def of(own: Column) -> Column:
-        theirs = F.transform(_open(b, a), lambda i: F.get(b["paragraphs"], i))
-        hit = let(theirs, lambda t: F.filter(own, lambda i: ~F.array_contains(t, F.get(a["paragraphs"], i))))
-        known = F.array_distinct(F.transform(F.flatten(F.transform(_open(b, a), lambda i: F.get(b["leaves"], i))), _hash))
+def _first(own: Column, theirs: Column) -> Column:
+    """The place (from 0) of the first of ``own`` that isn't among ``theirs``; 0 if all are. Time grows with the sum of both."""
+    return let(own, lambda x: F.greatest(F.coalesce(F.array_position(x, F.get(F.array_except(x, theirs), F.lit(0))), F.lit(1)), F.lit(1)).cast("int") - 1)
 
-        def span(i: Column, old: Column) -> Column:
-            def within(p: Column) -> Column:
-                new = F.filter(F.sequence(F.lit(0), F.size(p)), lambda k: (k < F.size(p)) & ~F.array_contains(old, _hash(F.get(p, k))))
-                upto = lambda n: F.aggregate(F.slice(p, F.lit(1), n), F.lit(0).cast("long"), lambda x, y: x + _chars(y))
-                bounds = lambda w: F.struct(i.alias("paragraph"), F.when(F.size(w) > 0, upto(F.element_at(w, 1))).otherwise(F.lit(0).cast("long")).alias("from"), F.when(F.size(w) > 0, upto(F.element_at(w, -1) + 1)).otherwise(upto(F.size(p))).alias("to"))
-                return let(new, bounds)
 
-            return let(F.get(a["leaves"], i), within)
+def changed(a: Column, b: Column) -> Column:
+    """The struct from, to: the characters of ``a``'s text from the first piece that ``b`` hasn't to the last one, by descending on both sides; null for equal roots.
 
-        return let(known, lambda old: F.transform(hit, lambda i: span(i, old)))
+    At each level only the first (the last) node that ``b`` hasn't is looked into; where it has all (they only stand in
+    another order or number), the first (the last) of them is.
+    """
+    chars = lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda x, y: x + _chars(y))
+    before = lambda i: F.aggregate(F.slice(a["leaves"], F.lit(1), i), F.lit(0).cast("long"), lambda x, p: x + chars(p) + 1)  # noqa: E731  with each line's end
+    hashes = lambda p: F.transform(p, _hash)
 
-    none = F.array().cast("array<struct<paragraph:int,from:bigint,to:bigint>>")
-    return F.when(a["root"] == b["root"], none).otherwise(let(_open(a, b), of))
+    def begin(known: Column) -> Column:
+        section = _first(a["sections"], b["sections"])
+        paragraph = let(section, lambda s: F.coalesce(F.get(a["cuts"], s - 1), F.lit(0)) + _first(_part(a["paragraphs"], a["cuts"], s), b["paragraphs"]))
+        at = lambda i: let(F.get(a["leaves"], i), lambda p: before(i) + chars(F.slice(p, F.lit(1), _first(hashes(p), known))))
+        return let(paragraph, at)
 
+    def end(known: Column) -> Column:
+        section = F.size(a["sections"]) - 1 - _first(F.reverse(a["sections"]), b["sections"])
+        paragraph = let(section, lambda s: F.get(a["cuts"], s) - 1 - _first(F.reverse(_part(a["paragraphs"], a["cuts"], s)), b["paragraphs"]))
+        at = lambda i: let(F.get(a["leaves"], i), lambda p: before(i) + chars(F.slice(p, F.lit(1), F.size(p) - _first(F.reverse(hashes(p)), known))))
+        return let(paragraph, at)
 
-def span_in_text(t: Column, spans: Column) -> Column:
-    """The struct from, to: the characters of the text from the first of ``spans`` (of ``differing``) to the last; null if there are none."""
-    size = lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda x, y: x + _chars(y))
-    before = lambda i: F.aggregate(F.slice(t["leaves"], F.lit(1), i), F.lit(0).cast("long"), lambda x, p: x + size(p) + 1)  # noqa: E731  with each line's end
-    at = lambda s, end: before(s["paragraph"]) + s[end]
-    return let(spans, lambda d: F.when(F.size(d) > 0, F.struct(at(F.element_at(d, 1), "from").alias("from"), at(F.element_at(d, -1), "to").alias("to"))))
+    span = let(F.transform(F.flatten(b["leaves"]), _hash), lambda known: F.struct(begin(known).alias("from"), end(known).alias("to")))
+    return F.when(a["root"] != b["root"], span)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -196,6 +200,6 @@ def edit_report(docs: DataFrame) -> DataFrame:
         written(other).alias("edited_fingerprint"),
         likeness(leaves(own), leaves(other), own["root"], other["root"]).alias("near_edited"),
         likeness(leaves(own), leaves(after), own["root"], after["root"]).alias("near_next"),
-        span_in_text(own, differing(own, other)).alias("changed"),
+        changed(own, other).alias("changed"),
     )
     return out.withColumns({"changed_from": F.col("changed.from"), "changed_to": F.col("changed.to")}).drop("changed")
