@@ -2,44 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The separators of words: space and U+0009 to U+000D.
-WHITE = " \t\n\x0b\x0c\r"
+from prefixlake.sources.stored import shared_dir, stored
 
+__all__ = ["WHITE", "documents", "joined_to", "let", "same", "shared_dir", "stored", "text_of", "without_white", "words"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir.
-
-    Where it is unset and Spark runs in one process (tests), a temporary folder is made and kept in the session's
-    settings; on a cluster an unset folder is an error, since a machine-local one would lose rows.
-    """
-    sc = spark.sparkContext
-    known = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if known:
-        return known
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="prefixlake-")
-    sc.setCheckpointDir(made)
-    return sc.getCheckpointDir()
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again.
-
-    It cuts the lineage, survives lost executors, and gives Catalyst the true size, so that joins broadcast a side only
-    below spark.sql.autoBroadcastJoinThreshold and shuffle it beyond.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: The separators of words: space and U+0009 to U+000D.
+WHITE = " \t\n\x0b\x0c\r"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

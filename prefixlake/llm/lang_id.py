@@ -1,7 +1,7 @@
 """Language identification: averaged hashed subword embeddings and a linear softmax, trained by SGD in numpy.
 
 A text's subwords are its byte 3- and 4-grams inside words or over one word edge, lower-cased, hashed into BUCKETS
-embeddings. Training takes at most TRAIN_DOCS documents, drawn by a hash of the id, none longer than TRAIN_CHARS; a
+embeddings. Training takes at most TRAIN_DOCS documents, drawn by a hash of id and text, none longer than TRAIN_CHARS; a
 fifth of them is held back to set the softmax's temperature and the score below which a prediction counts as rejected.
 Prediction reads the whole text of every document; one text's subwords are the most that a task holds at once.
 """
@@ -88,6 +88,7 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model | None:
             step = out.T @ g
             out -= rate * np.outer(g, mean)
             bias -= rate * 0.1 * g
+            # a mean of many subwords moves each but little: the step of an embedding grows with their number, up to 50
             emb[at] -= rate * share * step * min(len(at), 50)
     model = Model(names, (emb @ out.T).astype(np.float32), bias, 1.0, 0.0)
     if len(back) < 10:
@@ -104,11 +105,11 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model | None:
 
 
 def sample(docs: DataFrame, most: int = TRAIN_DOCS) -> tuple[list[str], list[str]]:
-    """Texts and languages of about ``most`` of the rows of ``docs`` (doc_id, text, lang), by a hash of the id."""
+    """Texts and languages of about ``most`` of the rows of ``docs`` (doc_id, text, lang), by a hash of id and text, so rows without an id are drawn one by one."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= TRAIN_CHARS))
     n = rows.count()
     share = min(1.0, most / max(1, n))
-    some = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * most).orderBy("doc_id", "text").collect()
+    some = rows.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy("doc_id", "text").limit(2 * most).collect()
     return [r["text"] for r in some], [r["lang"] for r in some]
 
 

@@ -1,6 +1,6 @@
 """Line dedup: windows of three consecutive lines that occur again are removed, all but the first occurrence.
 
-Windows compare by 64-bit hash. The first occurrence in the corpus is that of the smallest doc_id (null last), then
+Windows compare by 128 bits of hash. The first occurrence in the corpus is that of the smallest doc_id (null last), then
 digest of the text, then line. The lines that later occurrences cover are merged into runs and cut out.
 """
 
@@ -19,12 +19,12 @@ def lines_of(text: Column) -> Column:
 
 
 def window_hashes(text: Column) -> Column:
-    """Array of the hash of each window of lines, null for windows without a word."""
+    """Array of the hash of each window of lines (two numbers of 64 bits), null for windows without a word."""
 
     def hashed(lines: Column) -> Column:
         n = F.size(lines) - (WINDOW - 1)
-        one = lambda i: let(F.slice(lines, i, WINDOW), lambda w: F.when(without_white(F.array_join(w, "")) != "", F.xxhash64(w)))
-        return F.when(n >= 1, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), one)).otherwise(F.array().cast("array<bigint>"))
+        one = lambda i: let(F.slice(lines, i, WINDOW), lambda w: F.when(without_white(F.array_join(w, "")) != "", F.struct(F.xxhash64(w).alias("h"), F.xxhash64(F.lit(1), w).alias("g"))))
+        return F.when(n >= 1, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), one)).otherwise(F.array().cast("array<struct<h:bigint,g:bigint>>"))
 
     return let(lines_of(text), hashed)
 
@@ -41,9 +41,9 @@ def later_windows(docs: DataFrame) -> DataFrame:
     a join that Spark splits where one window holds many rows.
     """
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__digest", "at")
-    windows = stored(keys(docs.select("doc_id", "text")).select("doc_id", "__digest", F.posexplode(window_hashes(text_of())).alias("at", "h")).where("h IS NOT NULL"))
-    repeated = windows.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "first")
-    later = windows.join(repeated, "h").where(place != F.col("first")).select("doc_id", "__digest", "at")
+    windows = stored(keys(docs.select("doc_id", "text")).select("doc_id", "__digest", F.posexplode(window_hashes(text_of())).alias("at", "w")).where("w IS NOT NULL").select("doc_id", "__digest", "at", "w.h", "w.g"))
+    repeated = windows.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "g", "first")
+    later = windows.join(repeated, ["h", "g"]).where(place != F.col("first")).select("doc_id", "__digest", "at")
     return later.groupBy("doc_id", "__digest").agg(F.array_sort(F.collect_set("at")).alias("starts"))
 
 

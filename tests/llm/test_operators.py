@@ -319,17 +319,18 @@ def plain_likeness(a, b):
 def plain_changed(a, b):
     if a[0] == b[0]:
         return None, None
-    inside = lambda t, o: [n for d, part in t[1] if d[:8] not in {e[:8] for e, _ in o[1]} for n in part]
-    theirs = inside(b, a)
-    hit = [n for n in inside(a, b) if a[2][n][0][:8] not in {b[2][m][0][:8] for m in theirs}]
-    known = {h for m in theirs for h, _ in b[2][m][1]}
+    first = lambda own, theirs: next((k for k, x in enumerate(own) if x not in theirs), 0)
+    known = {h for _, ps in b[2] for h, _ in ps}
+    theirs, old = {d[:8] for d, _ in b[1]}, {d[:8] for d, _ in b[2]}
     starts = np.cumsum([0] + [sum(c for _, c in ps) + 1 for _, ps in a[2]])
-    spans = []
-    for n in hit:
-        at = np.cumsum([0] + [c for _, c in a[2][n][1]])
-        new = [k for k, (h, _) in enumerate(a[2][n][1]) if h not in known]
-        spans.append((starts[n] + (at[new[0]] if new else 0), starts[n] + (at[new[-1] + 1] if new else at[-1])))
-    return (int(spans[0][0]), int(spans[-1][1])) if spans else (None, None)
+    out = []
+    for way in (1, -1):
+        part = a[1][::way][first([d[:8] for d, _ in a[1]][::way], theirs)][1][::way]
+        n = part[first([a[2][m][0][:8] for m in part], old)]
+        pieces = a[2][n][1][::way]
+        at = sum(c for _, c in pieces[: first([h for h, _ in pieces], known)])
+        out.append(int(starts[n] + (at if way == 1 else sum(c for _, c in pieces) - at)))
+    return tuple(out)
 
 
 def test_fingerprints_are_the_plain_tree(spark, docs):
@@ -356,8 +357,8 @@ def test_fingerprints_locate_an_edit(spark):
     text = "\n".join(f"paragraph {k} holds words of its own number {k}" for k in range(30))
     pair = spark.createDataFrame([(text, text.replace("paragraph 12 holds", "paragraph 12 held"))], "a string, b string")
     trees = pair.select("a", fingerprints.tree(F.col("a")).alias("x"), fingerprints.tree(F.col("b")).alias("y"))
-    found = trees.select(fingerprints.differing(F.col("x"), F.col("y")).alias("at"), fingerprints.span_in_text(F.col("x"), fingerprints.differing(F.col("x"), F.col("y"))).alias("span")).first()
-    assert [r["paragraph"] for r in found["at"]] == [12]
+    found = trees.select(fingerprints.differing(F.col("x"), F.col("y")).alias("at"), fingerprints.changed(F.col("x"), F.col("y")).alias("span")).first()
+    assert found["at"] == [12]
     at = text.index("paragraph 12 holds")
     assert at <= found["span"]["from"] <= text.index("holds", at) < found["span"]["to"] <= text.index("\n", at)
 
@@ -440,6 +441,44 @@ def test_language_identification(spark):
     assert none["lang_pred"] == "und" and lang_id.identify(empty(spark)).count() == 0
 
 
+def plain_subwords(text):
+    """The buckets of a text's byte grams: 3 and 4 bytes whose inner ones are letters, with what isn't a letter as a space."""
+    data, inside = text.lower().encode(), []
+    for k, b in enumerate(data):
+        punctuation = any(data[j : j + 2] == b"\xe2\x80" and j <= k < j + 3 and j + 2 < len(data) for j in (k - 2, k - 1, k) if j >= 0)
+        inside.append((chr(b).isalpha() and b < 128 or b >= 128) and not punctuation)
+    x = [32] + [b if ok else 32 for b, ok in zip(data, inside, strict=True)] + [32]
+    real, m, out = [b != 32 for b in x], 1 << 32, []
+    for k in range(len(x) - 2):
+        if real[k + 1]:
+            out.append((x[k] + x[k + 1] * 257 + x[k + 2] * 66049) * 2654435761 % m)
+    for k in range(len(x) - 3):
+        if real[k + 1] and real[k + 2]:
+            out.append(((x[k] + x[k + 1] * 257 + x[k + 2] * 66049 + x[k + 3] * 16974593) * 2246822519 + 97) % m)
+    return [h >> (32 - lang_id.BUCKETS.bit_length() + 1) for h in out]
+
+
+def test_language_identification_is_the_plain_model(spark, docs, rows):
+    """Predictions against loops over bytes, for the fixture's texts: long ones, repeated rows, other scripts, clashing names."""
+    texts, langs = [r[1] for r in rows if r[1] and r[2]], [r[2] for r in rows if r[1] and r[2]]
+    model = lang_id.train(texts, langs)
+    held = clashing(docs).selectExpr("*", "false AS held_out", "1 AS low", "2 AS some", "3 AS score")
+    got = lang_id.predicted(held.select("doc_id", "text", "held_out"), model).collect()
+    want = []
+    for i, t, *_ in rows:
+        if not t or not any(c.isalpha() for c in t):
+            want.append((i, "und", 0.0))
+            continue
+        h = plain_subwords(t)
+        z = (model.bias + np.mean([model.table[k].astype(float) for k in h], axis=0)) / model.heat
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        want.append((i, model.langs[int(p.argmax())], float(p.max())))
+    key = lambda r: (str(r[0]), r[1], round(r[2], 6))
+    assert sorted(map(key, ((r["doc_id"], r["lang_pred"], r["score"]) for r in got))) == sorted(map(key, want))
+    bare = spark.createDataFrame([(None, f"text {k} of rows without ids", "aa" if k % 2 else "bb", None, 0) for k in range(300)], SCHEMA)
+    assert 60 < len(lang_id.sample(bare, most=100)[0]) < 140
+
+
 def toxic_rows(n):
     bad, rows, labels = ["vilezor", "grubnak", "skeltor"], [], []
     for k in range(n):
