@@ -13,7 +13,7 @@ states at their bounds, and blocks and then chunks are traced back each for itse
 
 No piece of the model holds its mark for a space behind another character. So a space after another character is a place
 where all paths meet: there a chunk's matrix has rank one, and what lies between its first and its last such place doesn't
-depend on the states. It is encoded at once by the library, segment by segment, as texts that aren't giant are.
+depend on the states. It is encoded at once by the library, as texts that aren't giant are.
 """
 
 from __future__ import annotations
@@ -21,7 +21,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,10 +35,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 GIANT = CHUNK = 32_768
 #: Chunks whose matrices are multiplied in one task.
 BLOCK = 256
-#: Segments whose ids a task keeps, and pairs of pieces.
-KEPT = 200_000
+#: Pairs of pieces that a task keeps. Characters or ids that it handles at once, but for a single longer text.
+KEPT, AT_ONCE = 50_000, 500_000
 MARK = "▁"
-_CUT = re.compile(r"(?<=[^ ]) (?=[^ ])")
 #: Where all paths meet: before a mark that follows another character.
 _MEET = re.compile(rf"(?<=[^{MARK}])(?={MARK})")
 
@@ -52,21 +53,22 @@ class Codec:
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.longest = max(map(len, pieces), default=1)
         self.cuts = not any(MARK in p.lstrip(MARK) for p in pieces)
-        self.known: dict[str, list[int]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        known, cut = self.known, self.cuts
-        # a text that holds the mark itself is encoded whole, since the mark is a space to the model
-        parts = [_CUT.split(t) if cut and MARK not in t else [t] for t in texts]
-        if len(known) > KEPT:
-            known.clear()
-        new = list({s for p in parts for s in p if s not in known})
-        known.update(zip(new, self.sp.encode(new, num_threads=1), strict=True))
-        return [[i for s in p for i in known[s]] for p in parts]
-
-    def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.sp.decode(ids) if ids else []
+    def encode(self, texts: list[str]) -> pa.ListArray:
+        """The ids of each text."""
+        ids = self.sp.encode(texts, num_threads=1) if texts else []
+        ends = np.cumsum([0, *map(len, ids)])
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.fromiter(chain.from_iterable(ids), np.int32, ends[-1])))
+
+    def decode(self, ids: pa.ListArray) -> list[str]:
+        """The text of each list of ids; a null list is none."""
+        if ids.null_count:
+            ids = pa.array([x or [] for x in ids.to_pylist()], ids.type)
+        at = ids.offsets.to_numpy()
+        values = ids.values.to_numpy()[at[0] : at[-1]].tolist() if len(ids) else []
+        at = at - at[0]
+        return self.sp.decode([values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]) if len(ids) else []
 
     def merged(self, text: str) -> list[str]:
         """BPE of a few characters: the pair of the best score merges, the leftmost of equal ones, until none is left."""
@@ -189,18 +191,17 @@ class Chunk:
         """The ids between the places where all paths meet."""
         if self.tail is None:
             return []
-        parts = _MEET.split(self.text[self.head : self.tail]) if self.tail > self.head else []
-        return [i for ids in self.codec.encode([p[1:].replace(MARK, " ") for p in parts]) for i in ids]
+        return self.codec.sp.encode(self.text[self.head + 1 : self.tail].replace(MARK, " ")) if self.tail > self.head else []
 
-    def traced(self, entry: int, exit_: int, middle: list[int]) -> list[int]:
-        """The ids of the pieces that begin in this chunk, given the states at its bounds."""
+    def traced(self, entry: int, exit_: int) -> tuple[list[int], list[int]]:
+        """The ids of the pieces that begin in this chunk before and behind its middle, given the states at its bounds."""
         c = self.codec
         at, piece = self.entries()[entry]
         if self.tail is None:
-            return self._to(at, piece, exit_) if at < self.q else []
+            return (self._to(at, piece, exit_) if at < self.q else []), []
         last, ends = c.forward(self.text, at, self.head, piece)
         last |= {b: p for (_, b), p in ends.items() if b == self.head}
-        return c.back(last, at, self.head) + middle + self._to(self.tail, None, exit_)
+        return c.back(last, at, self.head), self._to(self.tail, None, exit_)
 
     def _to(self, begin: int, before: str | None, exit_: int) -> list[int]:
         last, exits = self.codec.forward(self.text, begin, self.q, before)
@@ -249,13 +250,13 @@ def trace(matrices: list[dict], entry: int, exit_: int) -> list[tuple[int, int]]
 
 
 def _few(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of about two million characters or items."""
+    """Parts of a batch of about AT_ONCE characters or items."""
     import pyarrow.compute as pc
 
     size = (pc.utf8_length if pa.types.is_string(batch.schema.field(column).type) else pc.list_value_length)(batch.column(column)).fill_null(0).to_pylist()
     begin, held = 0, 0
     for k, n in enumerate(size):
-        if held and held + n > 2_000_000:
+        if held and held + n > AT_ONCE:
             yield batch.slice(begin, k - begin)
             begin, held = k, 0
         held += n
@@ -272,8 +273,7 @@ def _encoded(model: str):
         codec = codec_of(model)
         for batch in batches:
             for part in _few(batch, "__text"):
-                ids = codec.encode([t or "" for t in part.column("__text").to_pylist()])
-                yield _with(part, "__text", __ids=pa.array(ids, pa.list_(pa.int32())))
+                yield _with(part, "__text", __ids=codec.encode([t or "" for t in part.column("__text").to_pylist()]))
 
     return run
 
@@ -305,28 +305,27 @@ def _matrices(model: str):
 def _traced(model: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model)
+        names = ("__k", "__left", "__body", "__right", "__tail", "__entry", "__exit")
         for batch in batches:
-            ids = []
-            for r in batch.to_pylist():
-                if r["__tail"] is None:
-                    ids.append(Chunk(codec, r["__left"], r["__body"], r["__right"], r["__k"] == 0).traced(r["__entry"], r["__exit"], []))
-                else:
-                    ids.append(ends(codec, r))
-            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__k"), pa.array(ids, pa.list_(pa.int32()))], ["__id", "__k", "__ids"])
+            before, behind = [], []
+            for k, left, body, right, tail, entry, exit_ in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                chunk = Chunk(codec, left, body, right, k == 0) if tail is None else ends(codec, left, body, tail, right, k == 0)
+                a, b = chunk.traced(entry, exit_)
+                before.append(a)
+                behind.append(b)
+            ids = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__k"), pa.array(before, ids), batch.column("__middle"), pa.array(behind, ids)], ["__id", "__k", "__before", "__middle", "__behind"])
 
     return run
 
 
-def ends(codec: Codec, r: dict) -> list[int]:
-    """The ids of a chunk whose middle is known: those before its first and behind its last meeting place, and the middle between."""
+def ends(codec: Codec, left: str, body: str, tail: str, right: str, first: bool) -> Chunk:
+    """What is left of a chunk whose middle is known: the texts before its first and behind its last meeting place, where all paths meet."""
     c = Chunk.__new__(Chunk)
-    # a chunk of the two ends alone: all paths meet between them
-    first = r["__k"] == 0
-    text = (r["__left"] + r["__body"] + r["__tail"] + r["__right"]).replace(" ", MARK)
-    c.codec, c.text, c.first, c.final = codec, text, first, not r["__right"]
-    c.p, c.q = len(r["__left"]), len(text) - len(r["__right"])
-    c.head = c.tail = c.p + len(r["__body"])
-    return c.traced(r["__entry"], r["__exit"], r["__middle"])
+    c.codec, c.text, c.first, c.final = codec, (left + body + tail + right).replace(" ", MARK), first, not right
+    c.p, c.q = len(left), len(c.text) - len(right)
+    c.head = c.tail = c.p + len(body)
+    return c
 
 
 def _products(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
@@ -368,7 +367,8 @@ def scanned(giants: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFr
     bounds = blocks.withColumns({"__from": F.lit(0), "__to": F.lit(0)}).groupBy("__id").applyInArrow(_places, state)
     bounds = bounds.select("__id", F.col("__k").alias("__block"), F.col("__entry").alias("__from"), F.col("__exit").alias("__to"))
     found = stored(arcs.join(bounds, ["__id", "__block"]).groupBy("__id", "__block").applyInArrow(_places, state))
-    ids = left.drop("__arcs").join(found, ["__id", "__k"]).mapInArrow(_traced(model), "__id long, __k int, __ids array<int>")
+    traced = left.drop("__arcs").join(found, ["__id", "__k"]).mapInArrow(_traced(model), "__id long, __k int, __before array<int>, __middle array<int>, __behind array<int>")
+    ids = traced.select("__id", "__k", F.concat("__before", "__middle", "__behind").alias("__ids"))
     return ids.groupBy("__id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("__k", "__ids"))), lambda x: x["__ids"])).alias("__ids"))
 
 
@@ -394,7 +394,7 @@ def _decoded(model: str):
         codec = codec_of(model)
         for batch in batches:
             for part in _few(batch, "__ids"):
-                yield _with(part, "__ids", __text=pa.array(codec.decode([x or [] for x in part.column("__ids").to_pylist()]), pa.string()))
+                yield _with(part, "__ids", __text=pa.array(codec.decode(part.column("__ids")), pa.string()))
 
     return run
 
