@@ -1,7 +1,7 @@
 """Quality rules with adaptive thresholds.
 
 Each text gets four ratios (word length, symbols, repeated lines, repeated word runs). A quantile sketch of each ratio
-is kept per language and source; a fence stands beyond a tail quantile of that sketch, by a multiple of the way from the
+is kept per language and source, of the texts that pass the base rules; a fence stands beyond a tail quantile of that sketch, by a multiple of the way from the
 median to it (and a small floor), and documents outside a fence are rejected. Ratios that are zero in most texts have
 their tail at the 99th percentile, so that a source's own few repeats set its fence. The sketch counts values in bins of fixed relative width (1/64, exact below 128), so
 sketches merge by adding counts, in any order, with the same result; small groups use the merged sketch of their
@@ -102,8 +102,8 @@ def fences(bins: DataFrame, *keys: str) -> DataFrame:
 
 
 def thresholds(rows: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """The fences of each (lang, source) in ``rows``: its own, its language's or the corpus's. Nulls are a group each."""
-    bins = stored(sketch(rows))
+    """The fences of each (lang, source) in ``rows``, from the texts that pass the base rules: its own, its language's or the corpus's. Nulls are a group each; a group without such texts has no fences."""
+    bins = stored(sketch(rows.where("NOT quality.base_failed")))
     names = [f"high_{m}" for m in METRICS] + [f"low_{m}" for m in TWO_SIDED]
     whole = fences(bins).first()
     own = fences(bins, "lang", "source")

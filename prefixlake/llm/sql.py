@@ -42,7 +42,7 @@ b AS (SELECT w.rid, doc_id, lang, source, len(w)::BIGINT AS n_words, length({_NO
   (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(CASE WHEN len(w) > 8 THEN rw.n END, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines FROM w LEFT JOIN rw USING (rid)),
 m AS (SELECT *, CASE WHEN n_words > 0 THEN word_chars * 1000 // n_words END AS word_len, CASE WHEN n_words > 0 THEN n_symbols * 1000 // n_words END AS symbols, CASE WHEN n_lines > 0 THEN n_dup_lines * 1000 // n_lines END AS dup_lines,
   CASE WHEN n_words > 0 THEN n_repeat_words * 1000 // n_words END AS repeats, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b),
-x AS (SELECT lang, source, 'word_len' AS metric, word_len AS v FROM m UNION ALL SELECT lang, source, 'symbols', symbols FROM m UNION ALL SELECT lang, source, 'dup_lines', dup_lines FROM m UNION ALL SELECT lang, source, 'repeats', repeats FROM m),
+ok AS (SELECT * FROM m WHERE NOT base_failed), x AS (SELECT lang, source, 'word_len' AS metric, word_len AS v FROM ok UNION ALL SELECT lang, source, 'symbols', symbols FROM ok UNION ALL SELECT lang, source, 'dup_lines', dup_lines FROM ok UNION ALL SELECT lang, source, 'repeats', repeats FROM ok),
 bins AS (SELECT lang, source, metric, {_BIN} AS bin, count(*) AS n FROM x WHERE v IS NOT NULL GROUP BY ALL),
 {_fences('own', 'lang, source', 'lang, source, metric')},
 {_fences('wide', 'lang', 'lang, metric')},
