@@ -42,7 +42,7 @@ BLOCK = 64
 #: Sets in the middle of long lists that the others try first.
 HEADS = 16
 #: Entries of a list beyond which it is dealt to several tasks, in parts and pairs of parts of this size.
-PART, WHOLE = 2048, 11
+PART, WHOLE = 2048, 9
 #: What a pair counts that is decided whatever it shares.
 SURE = 1 << 30
 _U = np.uint64
@@ -141,7 +141,7 @@ def _entries(shingle: int, classes):
                 p = _prefix(n)
                 kind = table[(s & _U(COUNTERS - 1)).astype(np.int64)]
                 order = np.argsort(kind, kind="stable")[:p] if kind.any() else slice(p)
-                # a list that is long by the counts is dealt in 2 ** (class - 11) parts by set; -1: in one
+                # a list that is long by the counts is dealt in 2 ** (class - WHOLE) parts by set; -1: in one
                 most = np.left_shift(1, np.maximum(kind[order].astype(np.int64) - WHOLE, 0))
                 part = np.where(most > 1, (name & 0x7FFFFFFF) % most, -1).astype(np.int32)
                 out.append((s[order], np.full(p, name, np.int64), (np.int64(n) << 32) + np.arange(p), part))
