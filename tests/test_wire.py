@@ -155,3 +155,16 @@ def test_vrp_files(spark, tmp_path):
     for rows in (wire.vrps_csv(spark, str(tmp_path / "v.csv")), wire.vrps_json(spark, str(tmp_path / "v.json"))):
         got = sorted(tuple(r) for r in rows.collect())
         assert got == [(1, 24, 0, 0xC0000200, 65001, 26), (2, 32, 0x20010DB800000000, 0, 65002, None)]
+
+
+def test_small_pieces_share_batches(spark):
+    """A batch is dear: many pieces of one record each leave the task together, in order, full batches first."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    one = bgp4mp(bgp(attrs=ATTRS, nlri=b"\x18\x0a\x00\x00"))
+    pieces = [pa.record_batch({"path": [f"{k}-{j}" for j in range(2000)], "content": [one] * 2000}) for k in range(3)]
+    out = list(wire._decoder(wire.mrt_records, to_arrow_schema(StructType.fromDDL(wire.COLUMNS)))(iter(pieces)))
+    assert [b.num_rows for b in out] == [wire.ROWS, 6000 - wire.ROWS]
+    assert [p for b in out for p in b.column("path").to_pylist()] == [f"{k}-{j}" for k in range(3) for j in range(2000)]
