@@ -89,9 +89,10 @@ def _members(shingle: int):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(name), pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())], ["doc_id", "n", "node", "part", "counts"])
         _count(counts, held)
         if counts.any():
-            blobs = [x.tobytes() for x in counts.reshape(2 * PARTS, -1)]
+            parts = counts.reshape(2 * PARTS, -1)
             none = pa.nulls(2 * PARTS, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(2 * PARTS), pa.int32()), pa.array(blobs, pa.binary())], ["doc_id", "n", "node", "part", "counts"])
+            # n: what a part counts
+            yield pa.RecordBatch.from_arrays([none, pa.array(parts.sum(axis=1, dtype=np.int64)), none, pa.array(range(2 * PARTS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["doc_id", "n", "node", "part", "counts"])
 
     return run
 
@@ -109,22 +110,32 @@ def _count(counts: np.ndarray, held: list[np.ndarray]) -> None:
         table[:] = np.minimum(table + n, 65535)
 
 
-def _summed(table: pa.Table) -> pa.Table:
-    total = np.zeros(COUNTERS // PARTS, np.uint64)
-    for blob in table.column("counts"):
-        total += np.frombuffer(blob.as_py(), np.uint16)
-    return pa.table({"part": table.column("part")[:1], "counts": pa.array([np.minimum(total, (1 << 32) - 1).astype(np.uint32).tobytes()], pa.binary())})
+def _classes(means: list[float]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of one part of both tables, in batches: the class of each of its counters."""
+        total = np.zeros((2, COUNTERS // PARTS))
+        for batch in batches:
+            for part, blob in zip(batch.column("part").to_pylist(), batch.column("counts"), strict=True):
+                total[part // PARTS] += np.frombuffer(blob.as_buffer(), np.uint16)
+        mean = np.array(means)[:, None]
+        classes = np.where(total > mean + 8 * np.sqrt(mean) + 8, np.log2(total + 1), 0).max(axis=0).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([part % PARTS], pa.int32()), pa.array([classes.tobytes()], pa.binary())], ["place", "classes"])
+
+    return run
 
 
 def commonness(rows: DataFrame) -> np.ndarray:
-    """A class for each counter: 0 for what isn't common for sure, else the logarithm of the count. It only sets the order."""
-    parts = rows.where("part IS NOT NULL").select("part", "counts").groupBy("part").applyInArrow(_summed, "part int, counts binary").collect()
-    counts = np.zeros((2 * PARTS, COUNTERS // PARTS))
-    for r in parts:
-        counts[r["part"]] = np.frombuffer(r["counts"], np.uint32)
-    counts = counts.reshape(2, -1)
-    mean = counts.mean(axis=1, keepdims=True)
-    return np.where(counts > mean + 8 * np.sqrt(mean) + 8, np.log2(counts + 1), 0).max(axis=0).astype(np.uint8)
+    """A class for each counter: 0 for what isn't common for sure, else the logarithm of the count. It only sets the order.
+
+    The counters stay in tasks: the driver gets two sums, then a byte for each counter.
+    """
+    parts = rows.where("part IS NOT NULL")
+    sums = {r["t"]: r["n"] for r in parts.groupBy(F.floor(F.col("part") / PARTS).alias("t")).agg(F.sum("n").alias("n")).collect()}
+    means = [sums.get(t, 0) / COUNTERS for t in range(2)]
+    out = np.zeros((PARTS, COUNTERS // PARTS), np.uint8)
+    for r in parts.select("part", "counts").groupBy(F.col("part") % PARTS).applyInArrow(_classes(means), "place int, classes binary").collect():
+        out[r["place"]] = np.frombuffer(r["classes"], np.uint8)
+    return out.reshape(-1)
 
 
 def _entries(shingle: int, classes):

@@ -174,6 +174,25 @@ def test_jaccard_join(spark, docs, rows):
     assert jaccard_join.grouped(empty(spark)).count() == 0
 
 
+def test_jaccard_join_classes_are_made_in_tasks(spark):
+    """The classes are those of the summed tables, and the driver holds no table of numbers while they are made."""
+    import tracemalloc
+
+    rows = [(k, prose(k, 30) + " the same nine words stand in all of these", None, None, 0) for k in range(200)]
+    first = jaccard_join.stored(spark.createDataFrame(rows, SCHEMA).select("doc_id", "text").repartition(3).mapInArrow(jaccard_join._members(5), "doc_id long, n long, node long, part int, counts binary"))
+    tracemalloc.start()
+    got = jaccard_join.commonness(first)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    counts = np.zeros((2 * jaccard_join.PARTS, jaccard_join.COUNTERS // jaccard_join.PARTS))
+    for r in first.where("part IS NOT NULL").collect():
+        counts[r["part"]] += np.frombuffer(r["counts"], np.uint16)
+    counts = counts.reshape(2, -1)
+    mean = counts.mean(axis=1, keepdims=True)
+    want = np.where(counts > mean + 8 * np.sqrt(mean) + 8, np.log2(counts + 1), 0).max(axis=0)
+    assert (got == want.astype(np.uint8)).all() and got.any() and peak < 8 * jaccard_join.COUNTERS
+
+
 @pytest.mark.parametrize(("part", "whole"), [(2048, 11), (8, 2)])
 def test_jaccard_join_of_a_large_group(spark, monkeypatch, part, whole):
     """Near copies of one text, copies of copies, and a passage that many unlike texts share: long index lists, also dealt in parts."""
