@@ -129,7 +129,7 @@ def s6_mrt_updates(spark, sf_dir):
     """MRT records made of the orders, decoded by the reader's code: a record for each order, each with one prefix."""
     from prefixlake.sources import wire
 
-    # a small table is one task's scan, but not one task's decoding
+    # a table of few row groups is few tasks' scan; dealt by key, larger ones are decoded in more tasks (of a few MB each, as Spark joins small ones)
     rows = demo.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").repartition("o_orderkey")
     message = _update("64000 + o_orderkey % 90", "o_custkey * 7919 % 16777216", F.col("o_orderstatus") == "F")
     body = F.concat(_hex("65000 + o_custkey % 500", 8), F.lit("0000fde8" + "0000" + "0001" + "c0000201" + "c0000202"), message)
