@@ -10,9 +10,13 @@ A text's set is its distinct word shingles (64-bit hashes). Two sets link at a J
    the lists. In long lists each set first meets only the list's head (index-level skipping): a set that links with the
    head has the head's component from then on, and of its other answers only those in other components are still open
    (answer-level skipping: the answers of highly similar sets are derived from one another).
-3. Pairs that share enough are decided by the sets themselves.
+3. Pairs that share enough are first held against sketches of the sets (parities of hashed places): the places that
+   differ are no more than the shingles that do, so a sketch never rules out a pair that links. The rest is decided by
+   the sets themselves, made again from the texts of these pairs only. They meet in cells, pairs of parts of the nodes,
+   so that a set is sent once to each cell that needs it, not once for each of its pairs.
 4. After the components of these links, long lists are read again: first, their sets try the HEADS of each list that
-   stand in most long lists (what all near copies share most with); then lists of several components are dealt in pairs
+   stand in most long lists (what all near copies share most with), and of the list's largest components the sets
+   that are nearest in size and position; then lists of several components are dealt in pairs
    of parts (no task reads a whole long list) and read in blocks by size and position, pairs of blocks that the bounds rule out and sets of one component are skipped, and what the rest shares
    is counted up as in step 2.
 """
@@ -23,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefixlake.llm import wordhash
@@ -39,8 +43,14 @@ HELD = 6 << 20
 #: Lists above this length are read by head first.
 LONG = 24
 BLOCK = 64
-#: Sets in the middle of long lists that the others try first.
-HEADS = 16
+#: Sets of long lists that the others try first: HEADS of each list, and of each of its LARGEST components the NEAREST.
+HEADS, LARGEST, NEAREST = 16, 4, 8
+#: Bits of a sketch, at least and at most; between, a set has as many as shingles, up to the next power of two.
+SKETCH = 1 << 6, 1 << 16
+#: Bits of the filter of documents whose sets are made again (a false positive makes a set in vain), and the parts that it is made in.
+FILTER, FILTER_PARTS = 1 << 25, 64
+#: Bytes of sets that a part of the nodes holds, about, and the least number of parts.
+CELL, CELLS = 16 << 20, 4
 #: Entries of a list beyond which it is dealt to several tasks, in parts and pairs of parts of this size.
 PART, WHOLE = 2048, 11
 #: What a pair counts that is decided whatever it shares.
@@ -53,6 +63,23 @@ def digest(s: np.ndarray) -> int:
     return int((wordhash.mixed(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U) + _U(len(s))).astype(np.int64)) if len(s) else 0
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """For each of a power of two of places: whether an odd number of shingles is hashed to it."""
+    bits = min(max(1 << (len(s) - 1).bit_length(), SKETCH[0]), SKETCH[1])
+    return np.packbits(np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def _differ(x: bytes, y: bytes) -> int:
+    """A lower bound of the number of shingles that are in one of two sets only, by their sketches."""
+    if len(x) < len(y):
+        x, y = y, x
+    a, b, bits = int.from_bytes(x, "little"), int.from_bytes(y, "little"), 8 * len(x)
+    while bits > 8 * len(y):  # halves laid over each other are the sketch of half as many places
+        bits //= 2
+        a = (a & ((1 << bits) - 1)) ^ (a >> bits)
+    return (a ^ b).bit_count()
+
+
 def _needed(n):
     """Of sets whose sizes add up to ``n``: the least intersection that links."""
     return -(-PERCENT * n // (100 + PERCENT))
@@ -72,21 +99,22 @@ def _columns(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
 
 
 def _members(shingle: int):
-    """A row for each document; and for each task the parts of two count-min tables, of all shingles and of those that repeat among HELD."""
+    """A row for each document, with its set's sketch; and for each task the parts of two count-min tables, of all shingles and of those that repeat among HELD."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, COUNTERS), np.uint16)
         held, n = [], 0
         for batch in batches:
-            size, name = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            size, name, sketches = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), [b""] * batch.num_rows
             for row, s in wordhash.shingle_sets(batch.column("text"), shingle):
                 size[row], name[row] = len(s), digest(s)
+                sketches[row] = sketch(s) if len(s) else b""
                 held.append(s)
                 n += len(s)
                 if n > HELD:
                     _count(counts, held)
                     held, n = [], 0
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(name), pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())], ["doc_id", "n", "node", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(name), pa.nulls(batch.num_rows, pa.int32()), pa.array(sketches, pa.binary())], ["doc_id", "n", "node", "part", "counts"])
         _count(counts, held)
         if counts.any():
             parts = counts.reshape(2 * PARTS, -1)
@@ -235,7 +263,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of the entries of long lists (or of their parts) with the HEADS entries there that stand in most long lists, if of another component."""
+    """Pairs of the entries of long lists (or of their parts) with the HEADS entries there that stand in most long lists, and with the NEAREST entries there, by size and position, of each of the LARGEST components, if of another component."""
     for (token, node, at, comp, many, part), begin in _sorted(batches, "part"):
         order = np.lexsort((node, -many, part, token))
         length = np.diff(begin)
@@ -246,6 +274,21 @@ def _centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = x[_possible(at[x], at[head[x]])]
             found.append((node[x], node[head[x]], at[x], at[head[x]], np.full(len(x), SURE, np.int64)))
         yield from _counted(found)
+        found, held = [], 0
+        for s, e in zip(begin[:-1], begin[1:], strict=True):
+            names, of, sizes = np.unique(comp[s:e], return_inverse=True, return_counts=True)
+            for c in np.argsort(-sizes, kind="stable")[:LARGEST] if len(names) > 1 else ():
+                near, others = s + np.flatnonzero(of == c), s + np.flatnonzero(of != c)
+                k = np.searchsorted(at[near], at[others])[:, None] + np.arange(-NEAREST // 2, NEAREST // 2)
+                x, y = np.repeat(others, NEAREST), near[np.clip(k, 0, len(near) - 1)].ravel()
+                ok = _possible(at[x], at[y])
+                found.append((node[x[ok]], node[y[ok]], at[x[ok]], at[y[ok]], np.full(ok.sum(), SURE, np.int64)))
+                held += int(ok.sum())
+            if held > 2_000_000:
+                yield from _counted(found)
+                found, held = [], 0
+        if found:
+            yield from _counted(found)
 
 
 def _sorted(batches: Iterator[pa.RecordBatch], *by: str) -> Iterator[tuple[tuple[np.ndarray, ...], np.ndarray]]:
@@ -301,14 +344,18 @@ def _dealt(lists: DataFrame) -> DataFrame:
     return cells.select("token", "a", "at", "component", "many", "side", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"))
 
 
-def _sets(shingle: int):
+def _sets(shingle: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sets of the texts whose place is marked in ``wanted``, or that have none, and their names."""
+        bits = wanted.value
         for batch in batches:
-            nodes = batch.column("node").to_numpy()
+            place = batch.column("place").fill_null(-1).to_numpy()
+            some = pa.array((place < 0) | ((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0))
             out, held = [], 0
-            for row, s in wordhash.shingle_sets(batch.column("text"), shingle):
-                out.append((nodes[row], s.tobytes()))
-                held += len(s)
+            for _, s in wordhash.shingle_sets(batch.column("text").filter(some), shingle):
+                if len(s):
+                    out.append((digest(s), s.tobytes()))
+                    held += len(s)
                 if held > 1 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), SET_TYPES, strict=True)], SET_NAMES)
                     out, held = [], 0
@@ -321,27 +368,61 @@ def _sets(shingle: int):
 SET_NAMES, SET_TYPES = ["node", "shingles"], [pa.int64(), pa.binary()]
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _place() -> Column:
+    return F.when(F.col("doc_id").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.lit(FILTER)))
+
+
+def _marks(key: tuple, rows: pa.Table) -> pa.Table:
+    bits = np.zeros(FILTER // FILTER_PARTS, np.uint8)
+    bits[rows.column("place").to_numpy() % len(bits)] = 1
+    return pa.table({"number": pa.array([key[0].as_py()], pa.int64()), "marks": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+
+def _filter(ids: DataFrame) -> np.ndarray:
+    """A bit for each place that an id of ``ids`` is hashed to. The ids stay in tasks: the driver gets FILTER bits at most."""
+    out = np.zeros((FILTER_PARTS, FILTER // FILTER_PARTS // 8), np.uint8)
+    places = ids.select(_place().alias("place")).where("place IS NOT NULL").distinct()
+    for r in places.groupBy(F.floor(F.col("place") / (FILTER // FILTER_PARTS)).alias("number")).applyInArrow(_marks, "number long, marks binary").collect():
+        out[r["number"]] = np.frombuffer(r["marks"], np.uint8)
+    return out.reshape(-1)
+
+
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs that their sketches don't rule out: two sets that link differ in at most as many shingles as are left of both sizes without the intersection needed."""
     for batch in batches:
-        ok = []
-        for x, y in zip(batch.column("shingles_a"), batch.column("shingles_b"), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = np.concatenate([x, y])
-            both.sort()
-            ok.append(int((both[1:] == both[:-1]).sum()) >= _needed(len(x) + len(y)))
-        ok = pa.array(ok, pa.bool_())
+        na, nb = _columns(batch, "n_a", "n_b")
+        most = na + nb - 2 * _needed(na + nb)
+        differ = map(_differ, batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist())
+        ok = pa.array(np.fromiter(differ, np.int64, batch.num_rows) <= most)
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
 
 
-def _decided(pairs: DataFrame, docs: DataFrame, named: DataFrame, shingle: int) -> DataFrame:
-    """The pairs (a, b) that link. Only the sets of their nodes are made again, each from the one document that ``named`` (node, doc_id, a row for each node) has for it."""
-    pairs = stored(pairs.select("a", "b"))
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    chosen = stored(named.join(nodes, "node", "left_semi").select("node", "doc_id"))
-    texts = docs.join(chosen.hint("merge"), "doc_id").select("node", "text").unionByName(_unnamed(docs, chosen, shingle))
-    sets = stored(texts.mapInArrow(_sets(shingle), "node long, shingles binary"))
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"shingles_{c}"))
-    return stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_linked, "a long, b long"))
+def _linked(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+    """Of the pairs of one cell: those that link."""
+    held = {node: np.frombuffer(s.as_buffer(), np.uint64) for node, s in zip(sets.column("node").to_pylist(), sets.column("shingles"), strict=True)}
+    ok = []
+    for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
+        both = np.concatenate([held[a], held[b]])
+        both.sort()
+        ok.append(int((both[1:] == both[:-1]).sum()) >= _needed(len(both)))
+    return pairs.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+
+def _decided(pairs: DataFrame, docs: DataFrame, named: DataFrame, sketches: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (a, b) that link. Only the sets of pairs that sketches (node, n, sketch) leave are made again, each from the one document that ``named`` (node, doc_id, n; a row for each node) has for it."""
+    spark = docs.sparkSession
+    drawn = lambda c: sketches.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+    pairs = stored(pairs.select("a", "b").join(drawn("a"), "a").join(drawn("b"), "b").mapInArrow(_close, "a long, b long"))
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    chosen = stored(named.join(nodes, "node", "left_semi").select("doc_id", "n"))
+    parts = max(CELLS, -(-8 * (chosen.agg(F.sum("n")).first()[0] or 0) // CELL))
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts))
+    cells = pairs.select("a", "b", F.least(part("a"), part("b")).alias("low"), F.greatest(part("a"), part("b")).alias("high"))
+    needs = cells.select(F.explode(F.array("a", "b")).alias("node"), F.col("low").alias("of_low"), F.col("high").alias("of_high")).distinct()
+    wanted = spark.sparkContext.broadcast(_filter(chosen))
+    sets = docs.select("text", _place().alias("place")).mapInArrow(_sets(shingle, wanted), "node long, shingles binary")
+    met = sets.join(needs, "node")
+    return stored(cells.groupBy("low", "high").cogroup(met.groupBy("of_low", "of_high")).applyInArrow(_linked, "a long, b long"))
 
 
 def linked_sets(docs: DataFrame, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -360,12 +441,16 @@ def linked_sets(docs: DataFrame, shingle: int = SHINGLE) -> tuple[DataFrame, Dat
     enough = F.col("shared") >= F.least(prefix("na") - F.col("na"), prefix("nb") - F.col("nb")) + F.ceil((F.col("na") + F.col("nb")) * PERCENT / (100 + PERCENT))
     pairs = stored(summed(lists.where("token IS NULL")))
     entries = lists.where("token IS NOT NULL").select("token", "a", "at", "part")
-    links = _decided(pairs.where(enough), docs, named, shingle)
+    # sketches of the sets that met another one
+    met = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(entries.select(F.col("a").alias("node"))).distinct()
+    drawn = first.where("part IS NULL").groupBy("node").agg(F.max("n").alias("n"), F.first("counts").alias("sketch"))
+    sketches = stored(drawn.join(met, "node", "left_semi"))
+    links = _decided(pairs.where(enough), docs, named, sketches, shingle)
     found = stored(components(links))
     if entries.limit(1).count():
         many = stored(entries.groupBy("a").agg(F.count("*").alias("many")))
         placed = lambda: entries.join(many, "a").join(found, F.col("a") == found["node"], "left").select("token", "a", "at", "part", "many", F.coalesce("component", "a").alias("component"))
-        near = _decided(summed(placed().repartition("token", "part").mapInArrow(_centres, pair)), docs, named, shingle)
+        near = _decided(placed().repartition("token", "part").mapInArrow(_centres, pair).select("a", "b").distinct(), docs, named, sketches, shingle)
         if near.limit(1).count():
             links = links.unionByName(near)
             found = stored(components(links))
@@ -375,27 +460,10 @@ def linked_sets(docs: DataFrame, shingle: int = SHINGLE) -> tuple[DataFrame, Dat
         more = far.unionByName(both.withColumn("shared", F.col("shared") + F.least("many", "many_b")).where(enough).select(far.columns))
         more = stored(more.join(found.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(found.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left").where("ca IS NULL OR cb IS NULL OR ca <> cb").select("a", "b").distinct())
         if more.limit(1).count():
-            found = stored(components(links.unionByName(_decided(more, docs, named, shingle))))
+            found = stored(components(links.unionByName(_decided(more, docs, named, sketches, shingle))))
     return members, named, found
 
 
-def _unnamed(docs: DataFrame, chosen: DataFrame, shingle: int) -> DataFrame:
-    """Texts of the chosen sets that only documents without an id have: found by digest."""
-    named = docs.where("doc_id IS NULL").mapInArrow(_named(shingle), "node long, text string").dropDuplicates(["node"])
-    return named.join(chosen.where("doc_id IS NULL").select("node"), "node", "left_semi").select("node", "text")
-
-
-def _named(shingle: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = np.zeros(batch.num_rows, np.int64)
-            for row, s in wordhash.shingle_sets(batch.column("text"), shingle):
-                names[row] = digest(s)
-            yield pa.RecordBatch.from_arrays([pa.array(names), batch.column("text").cast(pa.string())], ["node", "text"])
-
-    return run
-
-
 def grouped(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``.
 

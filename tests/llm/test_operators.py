@@ -4,6 +4,7 @@ import collections
 import hashlib
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -214,6 +215,41 @@ def test_jaccard_join_of_a_large_group(spark, monkeypatch, part, whole):
     assert sorted((tuple(r) for r in jaccard_join.grouped(df).collect()), key=str) == groups_plain(rows)
 
 
+def test_jaccard_join_stores_no_sets(spark, tmp_path):
+    """A group whose texts meet in many pairs, most of them just too unlike to link, and others: the sets aren't stored, so what the join stores is small beside the texts."""
+    rng = np.random.default_rng(9)
+    base = prose(11, 1500).split()
+    rows = []
+    for k in range(160):
+        w = list(base)
+        for at in rng.choice(1500, int(rng.integers(5, 60)), replace=False):
+            w[at] = f"e{rng.integers(0, 1 << 40)}"
+        rows.append((k, " ".join(w), None, None, 0))
+    rows += [(1000 + k, prose(2000 + k, 1500), None, None, 0) for k in range(100)]  # texts like no other
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    stored = lambda: sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+    before = stored()
+    jaccard_join.grouped(df).write.parquet(str(tmp_path / "out"))
+    assert stored() - before < 0.45 * sum(len(r[1]) for r in rows)
+    assert sorted((tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()), key=str) == groups_plain(rows)
+
+
+def test_jaccard_join_sketches_rule_out_no_link():
+    """Places that differ are at most as many as the shingles that do, also where one sketch has twice or more the places; equal sets differ in none."""
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 63, 64, 65, 300, 1000, 4096, 5000, 70_000, 140_000):
+        both = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        for more, less in ((0, 0), (1, 0), (n // 8, n // 9), (n, 3 * n)):
+            a, b = (np.unique(np.concatenate([both, rng.integers(0, 1 << 63, k, dtype=np.uint64)])) for k in (more, less))
+            bound = jaccard_join._differ(jaccard_join.sketch(a), jaccard_join.sketch(b))
+            assert bound <= len(np.setxor1d(a, b)) and bound == jaccard_join._differ(jaccard_join.sketch(b), jaccard_join.sketch(a))
+            if more + less == 0:
+                assert bound == 0
+    a, b = rng.integers(0, 1 << 63, 500, dtype=np.uint64), rng.integers(0, 1 << 63, 500, dtype=np.uint64)
+    assert jaccard_join._differ(jaccard_join.sketch(np.unique(a)), jaccard_join.sketch(np.unique(b))) > 112  # unlike sets are told apart
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 200, (150, 2))] + [(k, k + 1) for k in range(300, 340)] + [(5, 5)]
