@@ -369,7 +369,7 @@ SET_NAMES, SET_TYPES = ["node", "shingles"], [pa.int64(), pa.binary()]
 
 
 def _place() -> Column:
-    return F.when(F.col("doc_id").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.lit(FILTER)))
+    return F.when(F.col("doc_id").isNotNull(), F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FILTER)))
 
 
 def _marks(key: tuple, rows: pa.Table) -> pa.Table:
@@ -387,6 +387,17 @@ def _filter(ids: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
+def _marked(marks):
+    """Whether a place is marked: one of an id in the filter, and of few others."""
+
+    @F.arrow_udf("boolean")
+    def run(place: pa.Array) -> pa.Array:
+        at, bits = place.to_numpy(zero_copy_only=False), marks.value
+        return pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0)
+
+    return run
+
+
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs that their sketches don't rule out: two sets that link differ in at most as many shingles as are left of both sizes without the intersection needed."""
     for batch in batches:
@@ -485,8 +496,12 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     Of rows that are equal in doc_id and text one stays; rows that share an id with different texts stay together, and
     rows without an id can't be told apart and stay. Documents with empty sets stay.
     """
-    kept = grouped(docs, shingle).where("component_id = doc_id").select(F.col("doc_id").alias("__id")).distinct()
-    out = docs.join(kept, docs["doc_id"] == kept["__id"], "left_semi")
+    ids = grouped(docs, shingle).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("component_id") == F.col("doc_id")).alias("kept"))
+    gone = stored(ids.where("NOT kept").select("doc_id"))
+    # a row whose place isn't marked stays where it is: only rows that may go are shuffled
+    named = docs.where("doc_id IS NOT NULL").withColumn("__perhaps", _marked(docs.sparkSession.sparkContext.broadcast(_filter(gone)))(_place()))
+    perhaps = named.where("__perhaps").join(gone.select(F.col("doc_id").alias("__id")), F.col("doc_id") == F.col("__id"), "left_anti")
+    out = named.where("NOT __perhaps").unionByName(perhaps).drop("__perhaps")
     if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
         one = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1))
         out = out.withColumn("__k", F.row_number().over(one)).where("__k = 1").drop("__k")

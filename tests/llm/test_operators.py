@@ -235,6 +235,16 @@ def test_jaccard_join_stores_no_sets(spark, tmp_path):
     assert sorted((tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()), key=str) == groups_plain(rows)
 
 
+def test_jaccard_dedup_shuffles_only_what_may_go(spark):
+    """Rows that stay for sure aren't shuffled; ids of any integer type, repeated ids and other columns are kept."""
+    rows = [(k, prose(50 + k % 90, 40), None, None, 0) for k in range(100)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("doc_id", F.col("doc_id").cast("int"))
+    kept = jaccard_join.deduplicated(df)
+    assert kept.schema == df.schema and sorted(r["doc_id"] for r in kept.collect()) == list(range(90))
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftAnti") == 1 and "LeftSemi" not in plan and "ArrowEvalPython" in plan
+
+
 def test_jaccard_join_sketches_rule_out_no_link():
     """Places that differ are at most as many as the shingles that do, also where one sketch has twice or more the places; equal sets differ in none."""
     rng = np.random.default_rng(5)
